@@ -6,15 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk
+from .ann import op2_ann
+from .bpe import op7_bpe
 from .langid import op8_language_id
+from .packing import op9_packing
+from .sharding import op4_sharding
+from .topk import op6_topk
 from .toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op8_language_id": op8_language_id}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_ann": op2_ann,
+        "op4_sharding": op4_sharding,
+        "op6_topk": op6_topk,
+        "op7_bpe": op7_bpe,
+        "op8_language_id": op8_language_id,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": topk.ORACLE_SQL}
