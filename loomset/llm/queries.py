@@ -12,6 +12,8 @@ from .bpe import op7_bpe
 from .langid import op8_language_id
 from .packing import op9_packing
 from .sharding import op4_sharding
+from .simhash import op10_simhash
+from .suffix_dedup import op3_suffix_dedup
 from .topk import op6_topk
 from .toxicity import op1_toxicity
 
@@ -22,11 +24,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_ann": op2_ann,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_sharding": op4_sharding,
         "op6_topk": op6_topk,
         "op7_bpe": op7_bpe,
         "op8_language_id": op8_language_id,
         "op9_packing": op9_packing,
+        "op10_simhash": op10_simhash,
     }
 
 
