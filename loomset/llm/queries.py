@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk
+from . import licenses, topk
 from .ann import op2_ann
 from .bpe import op7_bpe
 from .langid import op8_language_id
+from .licenses import op5_licenses
 from .packing import op9_packing
 from .sharding import op4_sharding
 from .simhash import op10_simhash
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op2_ann": op2_ann,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_sharding": op4_sharding,
+        "op5_licenses": op5_licenses,
         "op6_topk": op6_topk,
         "op7_bpe": op7_bpe,
         "op8_language_id": op8_language_id,
@@ -35,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.ORACLE_SQL}
+    return {"op5_licenses": licenses.oracle_sql(), "op6_topk": topk.ORACLE_SQL}

@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,8 +119,8 @@ class _Block:
     """Documents of one block in a fixed order."""
 
     def __init__(self, rows: pd.DataFrame):
-        ids = [_NO_ID if i is None or i != i else int(i) for i in rows["doc_id"].astype(object)]
-        texts = [t if isinstance(t, bytes) else b"" if t is None else bytes(t) for t in rows["text"]]
+        ids = rows["__id"].tolist()
+        texts = [b"" if t is None else bytes(t) for t in rows["__text"]]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.rows, self.ids, self.texts = order, np.array([ids[i] for i in order], dtype=np.int64), [texts[i] for i in order]
 
@@ -332,20 +333,23 @@ def _found(block: _Block, bits: pd.DataFrame, answers: pd.DataFrame, buckets: in
             yield text, place, there
 
 
-def _apply(buckets: int, columns: list[str]) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(rows)
-        is_bits = answers["bits"].notna()
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+
+def _apply(buckets: int, columns: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        block, told = _Block(rows.select(["__id", "__text"]).to_pandas()), answers.to_pandas()
+        is_bits = told["bits"].notna()
         starts: dict[int, list[int]] = {}
         ends: dict[int, list[int]] = {}
         ids = block.ids.tolist()
-        for text, place, there in _found(block, answers[is_bits], answers[~is_bits], buckets):
+        for text, place, there in _found(block, told[is_bits], told[~is_bits], buckets):
             for offset, length, smallest, _ in there:
                 if smallest < ids[text]:
                     starts.setdefault(text, []).append(place + offset)
                     ends.setdefault(text, []).append(place + offset + length)
-        spans: list[list[dict[str, int]]] = [[]] * len(rows)
-        kept: list[bytes] = [b""] * len(rows)
+        spans: list[list[dict[str, int]]] = [[]] * rows.num_rows
+        kept: list[bytes] = [b""] * rows.num_rows
         for i, text in enumerate(block.texts):
             row = block.rows[i]
             if i not in starts:
@@ -358,25 +362,28 @@ def _apply(buckets: int, columns: list[str]) -> Callable[[tuple, pd.DataFrame, p
             edge = np.flatnonzero(covered[1:] != covered[:-1])
             spans[row] = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[0::2], edge[1::2], strict=True)]
             kept[row] = np.frombuffer(text, np.uint8)[~covered[1:-1]].tobytes()
-        return rows[columns].assign(spans=spans, kept=kept)
+        # A cut may fall inside a character; in the text, bytes that no longer form one go.
+        text = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        return rows.select(columns).append_column("spans", pa.array(spans, _SPANS)).append_column("kept", pa.array(kept, pa.binary())).append_column("kept_text", text)
 
     return run
 
 
-def _blocks(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int, int]:
-    """Rows with their block, the number of blocks and the number of buckets."""
+def _blocks(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """__id, __text, __block and __c0, __c1 ... for ``columns`` of every row, and the number of buckets."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(parts, -(-size // BLOCK_BYTES))
     buckets = max(parts, blocks // 4)
-    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *[F.col(f"`{c}`") for c in columns]]
+    # Rows without an id are spread by their text.
     block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int").alias("__block")
-    return docs.select(*own).select("*", block), blocks, buckets
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), F.col("text").cast("binary").alias("__text"), block]
+    return docs.select(*own, *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)]), buckets
 
 
-def _exchanged(docs: DataFrame, columns: list[str], every: bool) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    rows, _, buckets = _blocks(docs, columns)
+def _exchanged(docs: DataFrame, columns: list[str], every: bool) -> tuple[DataFrame, DataFrame, int]:
+    rows, buckets = _blocks(docs, columns)
     by_block = rows.groupBy("__block")
     told = by_block.applyInPandas(_announce(buckets), "bucket int, block int, codes binary, several binary")
     bits = told.groupBy("bucket").applyInPandas(_shared, "block int, bucket int, bits binary")
@@ -384,28 +391,34 @@ def _exchanged(docs: DataFrame, columns: list[str], every: bool) -> tuple[DataFr
     found = sent.groupBy("bucket").applyInPandas(_maximal_repeats(every), "block int, bucket int, string binary, offset binary, length binary, smallest binary, repeat binary")
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("string", "offset", "length", "smallest", "repeat")]
     answers = bits.select("block", "bucket", "bits", *nothing).unionByName(found.withColumn("bits", F.lit(None).cast("binary")))
-    return rows, bits, answers, buckets
+    return rows, answers, buckets
+
+
+def _doc_id() -> F.Column:
+    return F.when(F.col("__id") != _NO_ID, F.col("__id")).alias("doc_id")
 
 
 def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """doc_id, text (bytes), ``columns``, spans (array of start and length) and kept (bytes) of every row of ``docs``."""
+    """doc_id, text (bytes), spans (array of start and length), kept (bytes), kept_text and __c0, __c1 ... for ``columns`` of every row."""
     columns = columns or []
-    rows, _, answers, buckets = _exchanged(docs, columns, every=False)
-    names = ["doc_id", "text", *columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[F.col(f"`{n}`") for n in names]).schema)
-    return rows.groupBy("__block").cogroup(answers.groupBy("block")).applyInPandas(_apply(buckets, names), f"{schema}, spans array<struct<start: long, length: long>>, kept binary")
+    rows, answers, buckets = _exchanged(docs, columns, every=False)
+    names = ["__id", "__text", *[f"__c{i}" for i in range(len(columns))]]
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    found = rows.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(_apply(buckets, names), f"{schema}, spans array<struct<start: long, length: long>>, kept binary, kept_text string")
+    return found.select(_doc_id(), F.col("__text").alias("text"), "spans", "kept", "kept_text", *names[2:])
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
     """repeat, length, doc_id and start of all occurrences of each maximal repeat within a stretch, in every document that has it."""
-    rows, _, answers, buckets = _exchanged(docs, [], every=True)
+    rows, answers, buckets = _exchanged(docs, [], every=True)
 
     def run(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block, is_bits = _Block(rows), answers["bits"].notna()
         out = [(r, n, int(block.ids[text]), place + o) for text, place, there in _found(block, answers[is_bits], answers[~is_bits], buckets) for o, n, _, r in there]
-        return pd.DataFrame(out, columns=["repeat", "length", "doc_id", "start"])
+        return pd.DataFrame(out, columns=["repeat", "length", "__id", "start"])
 
-    return rows.groupBy("__block").cogroup(answers.groupBy("block")).applyInPandas(run, "repeat long, length long, doc_id long, start long")
+    found = rows.groupBy("__block").cogroup(answers.groupBy("block")).applyInPandas(run, "repeat long, length long, __id long, start long")
+    return found.select("repeat", "length", _doc_id(), "start")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,9 +433,12 @@ def keep_first_passages(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` without the passages that an earlier document has; columns and types stay, n_chars is counted anew."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = remove_repeats(docs, others)
-    # A cut may fall inside a character; bytes that no longer form one go.
-    text = F.when(F.col("text").isNotNull(), F.when(F.size("spans") == 0, F.col("text").cast("string")).otherwise(F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select([F.col(f"`{c}`").cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    cut = F.size("spans") > 0
+    found = found.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text").cast("string")))
+    out = []
+    for c in docs.columns:
+        value = F.col(c) if c in ("doc_id", "text") else F.col(f"__c{others.index(c)}")
+        if c == "n_chars":
+            value = F.when(cut, F.length("text")).otherwise(value)
+        out.append(value.cast(docs.schema[c].dataType).alias(c))
+    return found.select(*out)
