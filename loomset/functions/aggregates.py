@@ -1,7 +1,5 @@
 """Aggregates: an attribute path and what becomes of its values."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -9,7 +7,6 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -23,11 +20,11 @@ class AggregationFunction:
     def to_column(self, resolve: Callable[[str], Column]) -> Column:
         function = self.function
 
-        def run(values: pd.Series) -> Any:
+        # The hint of a plain value makes this a grouped aggregate.
+        def run(values: pd.Series) -> float:
             return function(values.tolist())
 
-        run.__annotations__ = {"values": pd.Series, "return": Any}
-        return F.pandas_udf(run, T._parse_datatype_string(self.returns), F.PandasUDFType.GROUPED_AGG)(resolve(self.attribute))
+        return F.pandas_udf(run, self.returns)(resolve(self.attribute))
 
     def to_dict(self) -> dict[str, Any]:
         return {"type": "aggregate", "op": type(self).__name__, "attribute": self.attribute}

@@ -168,26 +168,24 @@ def call(relation: Relation, paths: Paths, function: Callable[[Any], Any], on: s
                 return found
         except (PySparkException, TypeError, ValueError):
             pass
-    names, single = relation.df.columns, len(relation.key) == 1
+    names, key_names = relation.df.columns, tuple(relation.key)
 
     def run(row: Any) -> Any:
-        key = row[relation.key[0]] if single else tuple(row[k] for k in relation.key)
+        key = row[key_names[0]] if len(key_names) == 1 else tuple(row[k] for k in key_names)
         return function(key if on == "key" else ValueView(row) if on == "value" else ItemView(key, row))
 
     return F.udf(run, kind)(F.struct(*[F.col(f"`{c}`") for c in names]))
 
 
 def condition(relation: Relation, paths: Paths, predicate: Any, on: str, as_udf: bool = False) -> Column:
-    """A structured predicate or a user's function as a two-valued condition."""
+    """A structured predicate or a user's function as a condition; NULL counts as false."""
     from .predicates import Predicate
 
     if isinstance(predicate, Column):
-        found = predicate
-    elif isinstance(predicate, Predicate):
-        found = predicate.to_column(paths.column)
-    else:
-        found = call(relation, paths, predicate, on, T.BooleanType(), as_udf)
-    return F.coalesce(found, F.lit(False))
+        return predicate
+    if isinstance(predicate, Predicate):
+        return predicate.to_column(paths.column)
+    return call(relation, paths, predicate, on, T.BooleanType(), as_udf)
 
 
 def column_of(relation: Relation, paths: Paths, key: Any, on: str = "item", kind: T.DataType | None = None) -> Column:

@@ -1,6 +1,7 @@
 """Structured predicates: conditions that are data, with a JSON form.
 
-Logic is two-valued: a comparison with NULL is false, and ``Not`` of it true.
+Logic is two-valued: a comparison with NULL is false, and ``Not`` of it true.  Columns leave comparisons as they are, so that
+scans can take them over; a filter drops NULL like false, and ``Not`` turns it into false first.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ class _Comparison(Predicate):
         if self.value is None:
             return left.isNull() if self.op == "eq" else F.lit(False)
         right = resolve(self.value.path) if isinstance(self.value, Ref) else F.lit(self.value)
-        return F.coalesce(type(self).compare(left, right), F.lit(False))
+        return type(self).compare(left, right)
 
     def __call__(self, obj: Any) -> bool:
         right = _value(obj, self.value.path) if isinstance(self.value, Ref) else self.value
@@ -156,9 +157,9 @@ class Like(Predicate):
         return self.pattern.startswith("%"), self.pattern.strip("%"), self.pattern.endswith("%")
 
     def to_column(self, resolve: Resolve) -> Column:
-        text = resolve(self.attr).cast("string")
+        text = resolve(self.attr)
         if self.sql:
-            return F.coalesce(text.like(self.pattern), F.lit(False))
+            return text.like(self.pattern)
         before, core, after = self._parts()
         if before and after:
             found = text.contains(core)
@@ -166,7 +167,7 @@ class Like(Predicate):
             found = text.endswith(core)
         else:
             found = text.startswith(core) if after else text == core
-        return F.coalesce(found, F.lit(False))
+        return found
 
     def __call__(self, obj: Any) -> bool:
         text = str(_value(obj, self.attr))
@@ -189,7 +190,7 @@ class In(Predicate):
         self.attr, self.values = attr, list(values)
 
     def to_column(self, resolve: Resolve) -> Column:
-        return F.coalesce(resolve(self.attr).isin(self.values), F.lit(False)) if self.values else F.lit(False)
+        return resolve(self.attr).isin(self.values) if self.values else F.lit(False)
 
     def __call__(self, obj: Any) -> bool:
         return _value(obj, self.attr) in self.values

@@ -59,7 +59,7 @@ class filter_items_scan_complement(filter_items):
         self.on = "value" if isinstance(filter_predicate, Predicate) else "item"
 
     def select(self, holds: Any) -> Any:
-        return ~holds
+        return ~F.coalesce(holds, F.lit(False))
 
 
 def keep(relation: Relation, paths: Paths, holds: Any) -> Relation:
@@ -85,5 +85,5 @@ def where(relation: Relation, predicate: Any = None, **lookups: Any) -> Relation
         except AttributeError:
             # The whole keyword may be an attribute that ends like a lookup.
             column, name = paths.column(keyword), "exact"
-        holds &= F.coalesce(LOOKUPS[name](column, value), F.lit(False))
+        holds &= LOOKUPS[name](column, value)
     return keep(relation, paths, holds)

@@ -131,7 +131,7 @@ class transform_items(Operator):
             value = Proxy(paths)
             made = {k: F.col(f"`{k}`") for k in key if k not in self.columns} | {n: f(value) for n, f in self.columns.items()}
             holds = self.keep(value) if self.keep is not None else None
-            df = paths.df if holds is None else paths.df.where(F.coalesce(holds, F.lit(False)))
+            df = paths.df if holds is None else paths.df.where(holds)
             order = [c.alias(f"__o{i}") for i, c in enumerate(relation.order)]
             df = df.select(*[c.alias(n) for n, c in made.items()], *order)
             touched = any(k in self.columns for k in key)
