@@ -50,7 +50,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, method: Search, score
     right = vectors.select("vec_id", "vector", length, F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), F.pmod(hashed, F.lit(n_c)).cast("int").alias("c"))
 
     def cell(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "found": [], "scores": []})
+        nothing = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("query_id", "int64"), ("found", "object"), ("scores", "object"))})
         if not len(queries) or not len(candidates):
             return nothing
         # A fixed order, whatever order the rows arrived in.
