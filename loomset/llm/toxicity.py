@@ -27,10 +27,10 @@ BITS = 17
 DIM = 8
 
 #: Expected number of labelled rows that the fit uses; all of them, if fewer.
-FIT_ROWS = 4000
+FIT_ROWS = 8000
 #: Labelled texts longer than this are left out of the fit, so that its sample stays small (all texts are scored, whole).
 FIT_TEXT_BYTES = 65536
-#: Most bags of clean texts for each bag of a toxic text in the fit.
+#: Bags of clean texts for each bag of a toxic text in the fit, about.
 CLEAN_PER_TOXIC = 3
 
 
@@ -77,23 +77,24 @@ def worst_bag(texts: list[bytes], weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all bags one after the other, each bag's end among them, and each bag's text."""
+def _bags(texts: list[bytes], share: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of bags one after the other, each bag's end among them, and each bag's text; a text gives about its share of its bags."""
     buckets, ends, owners, done = [], [], [], 0
     for lo, hi in chunks(texts, 1 << 18):
         raw, starts = joined(texts[lo:hi])
         folded = FOLD[raw]
         opens, text = _bag_starts(folded, starts)
-        if not len(opens):
+        chosen = rng.random(len(opens)) < share[text + lo]
+        if not chosen.any():
             continue
         pairs = list(hashed_ngrams(folded, NGRAMS, BITS))
         kept = np.stack([inside for _, inside in pairs], axis=1)
         kept[: opens[0]] = False
+        kept[opens[0] :] &= np.repeat(chosen, np.diff(np.append(opens, len(kept))))[:, None]
         buckets.append(np.stack([bucket for bucket, _ in pairs], axis=1)[kept])
-        sizes = np.add.reduceat(kept.sum(axis=1), opens)
-        ends.append(np.cumsum(sizes) + done)
+        ends.append(np.cumsum(np.add.reduceat(kept.sum(axis=1), opens)[chosen]) + done)
         done = ends[-1][-1]
-        owners.append(text + lo)
+        owners.append(text[chosen] + lo)
     if not buckets:
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(buckets), np.concatenate(ends), np.concatenate(owners)
@@ -109,13 +110,13 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int =
     if not toxic.any() or toxic.all():
         return None
     rng = np.random.default_rng(17)
-    bucket, end, owner = _bags(texts)
+    size = np.array([len(t) for t in texts], dtype=np.float64)
+    bucket, end, owner = _bags(texts, np.where(toxic, 1.0, CLEAN_PER_TOXIC * size[toxic].sum() / max(1.0, size[~toxic].sum())), rng)
     begin = np.concatenate(([0], end[:-1]))
     label = toxic[owner].astype(np.int64)
     bad, good = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(bad) or not len(good):
         return None
-    good = rng.permutation(good)[: max(2000, CLEAN_PER_TOXIC * len(bad))]
     used = np.concatenate((bad, good))
     table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
