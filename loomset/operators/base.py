@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any, ClassVar
 
 _UNSET = object()
 
 
-class Operator:
+class _WithFactory(type):
+    """Every operator takes ``output_factory``, which turns its result into another type."""
+
+    def __call__(cls, *args: Any, output_factory: Callable[[Any], Any] | None = None, **options: Any) -> Any:
+        made = super().__call__(*args, **options)
+        made.output_factory = output_factory
+        return made
+
+
+class Operator(metaclass=_WithFactory):
     """Takes one function (a relation, a database, or another operator) and gives one.
 
     ``.result``, or calling the operator, builds the output once; nothing is computed before a Spark action on it.
     """
 
+    output_factory: Callable[[Any], Any] | None = None
+
     #: Names of the attributes that describe the operator in a plan.
     params: ClassVar[tuple[str, ...]] = ()
 
@@ -27,7 +39,8 @@ class Operator:
     @property
     def result(self) -> Any:
         if self._result is _UNSET:
-            self._result = self.compute()
+            made = self.compute()
+            self._result = self.output_factory(made) if self.output_factory else made
         return self._result
 
     def __call__(self) -> Any:

@@ -60,16 +60,17 @@ class subdatabase(Operator):
     the key columns and reduces each relation by the keys that remain, which also serves graphs that are no trees.  ``auto``
     takes decompose for graphs with one pure source, where the join of keys has at most that relation's rows, and for graphs that are
     no tree.  ``keep``: relations that are left whole and reduce no other (outer); ``anti``: of these relations the
-    tuples that take no part.  Relations without references pass through.
+    tuples that take no part.  Relations without references pass through.  ``persist`` keeps the join of keys for relations
+    that are read in separate jobs; within one job Spark reuses its exchanges.
     """
 
     params = ("root", "strategy", "keep", "anti")
 
-    def __init__(self, source: Any, *, root: str | None = None, strategy: str = "auto", keep: tuple[str, ...] = (), anti: tuple[str, ...] = ()):
+    def __init__(self, source: Any, *, root: str | None = None, strategy: str = "auto", keep: tuple[str, ...] = (), anti: tuple[str, ...] = (), persist: bool = False):
         super().__init__(source)
         if strategy not in ("auto", "cascade", "decompose"):
             raise ValueError(f"unknown strategy {strategy!r}")
-        self.root, self.strategy, self.keep, self.anti = root, strategy, tuple(keep), tuple(anti)
+        self.root, self.strategy, self.keep, self.anti, self.persist = root, strategy, tuple(keep), tuple(anti), persist
 
     def compute(self) -> Database:
         database = database_of(self.input)
@@ -92,7 +93,7 @@ class subdatabase(Operator):
                 for step in graph.semijoins(root):
                     out[step.reduce] = _reduced(out[step.reduce], out[step.by], step.reduce, step.reference)
             else:
-                out |= _decomposed(database, graph, group)
+                out |= _decomposed(database, graph, group, self.persist)
         for name in self.anti:
             whole = database.relations[name]
             out[name] = _matching(whole.df, out[name], whole.key, whole.key, "left_anti")
@@ -122,7 +123,7 @@ def _conditions(graph: ReferenceGraph, name: str, present: list[str], column: An
     return found
 
 
-def _decomposed(database: Database, graph: ReferenceGraph, group: list[str]) -> dict[str, DataFrame]:
+def _decomposed(database: Database, graph: ReferenceGraph, group: list[str], persist: bool) -> dict[str, DataFrame]:
     """Join of the key columns over all edges, then each relation by its keys in it."""
     start = next((n for n in graph.pure_sources() if n in group), group[0])
     column = lambda name, c: F.col(f"`__{name}__{c}`")
@@ -132,6 +133,8 @@ def _decomposed(database: Database, graph: ReferenceGraph, group: list[str]) ->
         keys = relation.df.select(*[F.col(f"`{c}`").alias(f"__{name}__{c}") for c in _key_columns(graph, name, relation.key)])
         joined = keys if joined is None else joined.join(keys, _conditions(graph, name, present, column), "inner")
         present.append(name)
+    if persist:
+        joined = joined.persist()
     out = {}
     for name in group:
         relation = database.relations[name]

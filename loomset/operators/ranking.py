@@ -17,31 +17,40 @@ from .base import Operator, relation_of
 KEY_TYPE = T.DoubleType()
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Global row numbers from 0 without bringing all rows into one task.
+#: Sampled values for each range from which the ranges of a sort key that is no number are cut.
+SAMPLE = 100
 
-    Rows are range-partitioned by the sort key, and a number is its partition's offset plus its place there.  Which rows a range
-    has comes from a column, not from the sampling of a shuffle, so counts and numbers agree in any rerun.
+
+def numbered(df: DataFrame, order: list[Column], name: str, reverse: bool = False) -> DataFrame:
+    """Global row numbers from 0 without bringing all rows into one task; ``reverse`` turns the order of the first column.
+
+    Rows are cut into ranges of the first sort column, and a number is its range's offset plus its place there.  The cuts are
+    constants in the plan, so counts and numbers agree in any rerun.  Rows that share one value stay in one range.
     """
     keys = [f"__k{i}" for i in range(len(order))]
     df = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _bounds(df, keys[0], parts)
-    if not bounds:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long") - 1).drop(*keys)
-    ranged = df.withColumn("__range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(keys[0]))))
-    offsets = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__offset"))
-    placed = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1)
+    ranged = df.withColumn("__range", _range(df, keys[0], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    turn = (lambda c: F.desc(c)) if reverse else F.asc
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("__range", (F.sum("n").over(Window.orderBy(turn("__range"))) - F.col("n")).alias("__offset"))
+    placed = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(turn(keys[0]), *keys[1:])) - 1)
     # One row for each range, at most the number of shuffle partitions.
     return placed.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__place") + F.col("__offset")).cast("long")).drop(*keys, "__range", "__place", "__offset")
 
 
-def _bounds(df: DataFrame, key: str, parts: int) -> list[Any]:
-    """Values that cut a numeric sort key into about equal ranges; none for small or other keys."""
-    if parts < 2 or not isinstance(df.schema[key].dataType, T.NumericType):
-        return []
-    found = df.select(F.percentile_approx(key, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10000))).first()[0]
-    return sorted(set(found)) if found else []
+def _range(df: DataFrame, key: str, parts: int) -> Column:
+    """Number of cuts at or below the key; NULL keys are in range 0."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.NumericType):
+        found = df.select(F.percentile_approx(key, F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)]), F.lit(10000))).first()[0]
+        cuts = [F.lit(v) for v in sorted(set(found or []))]
+    else:
+        share = min(1.0, 2 * SAMPLE * parts / max(1, df.count()))
+        values = sorted(r[0] for r in df.select(F.col(key).cast("string")).where(F.col(key).isNotNull()).sample(share, 7).limit(4 * SAMPLE * parts).collect())
+        cuts = [F.lit(v).cast(kind) for v in sorted({values[len(values) * i // parts] for i in range(1, parts)})] if values else []
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*cuts), lambda c: c <= F.col(key)))
 
 
 def ordered(relation: Relation, paths: Paths, key: Any, reverse: bool) -> list[Column]:
@@ -72,10 +81,7 @@ class rank_by(Operator):
             window = Window.partitionBy(*[paths.column(p) for p in self.partition_by]).orderBy(*ordered(relation, paths, column, self.reverse))
             df = paths.df.withColumn("rank", F.row_number().over(window).cast("long") - 1)
             return relation.with_df(df.select("rank", *[F.col(f"`{c}`") for c in relation.df.columns if c not in drop]), key=(*self.partition_by, "rank"))
-        if self.reverse and not isinstance(paths.df.select(column).schema[0].dataType, T.NumericType):
-            df = paths.df.withColumn("rank", F.row_number().over(Window.orderBy(*ordered(relation, paths, column, True))).cast("long") - 1)
-        else:
-            df = numbered(paths.df, [-column if self.reverse else column, *relation.order], "rank")
+        df = numbered(paths.df, [column, *relation.order], "rank", self.reverse)
         return relation.with_df(df.select("rank", *[F.col(f"`{c}`") for c in relation.df.columns if c not in drop]), key=("rank",))
 
 

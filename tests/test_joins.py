@@ -57,6 +57,14 @@ def test_subdatabase_trees(spark, strategy):
     assert {n: keys(out[n]) for n in out} == {"customers": {"c1", "c2"}, "products": {"x1", "x2"}, "orders": {"o1", "o2"}}
 
 
+def test_output_factory_and_persist(spark):
+    assert subdatabase(chain(spark), output_factory=lambda db: sorted(db)).result == ["departments", "projects", "tasks"]
+    kept = subdatabase(chain(spark), strategy="decompose", persist=True).result
+    assert keys(kept["tasks"]) == {"t1", "t2"} and keys(kept["projects"]) == {"p1"}
+    plan = subdatabase(chain(spark), strategy="cascade").result["projects"].df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 4 and "Python" not in plan
+
+
 def test_subdatabase_other_graphs(spark):
     out = subdatabase(diamond(spark)).result
     assert {n: keys(out[n]) for n in out} == {"a": {"a1"}, "b": {"b1"}, "c": {"c1"}, "d": {"d1"}}

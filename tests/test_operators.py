@@ -85,6 +85,11 @@ def test_numbering_over_many_partitions(spark):
     assert [r.n for r in found.orderBy("v").collect()] == list(range(1000))
     same = numbered(spark.range(50).select(F.lit(1).alias("v"), "id"), [F.col("v"), F.col("id")], "n")
     assert [r.n for r in same.orderBy("id").collect()] == list(range(50))
+    words = spark.createDataFrame([(w, i) for i, w in enumerate("delta alpha echo bravo charlie alpha golf".split())] + [(None, 9)], "v string, id long")
+    assert [r.v for r in numbered(words, [F.col("v"), F.col("id")], "n").orderBy("n").collect()] == [None, "alpha", "alpha", "bravo", "charlie", "delta", "echo", "golf"]
+    assert [(r.v, r.id) for r in numbered(words, [F.col("v"), F.col("id")], "n", reverse=True).orderBy("n").collect()][-3:] == [("alpha", 1), ("alpha", 5), (None, 9)]
+    times = spark.range(60).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=F.col("id") * 37 % 60)).alias("v"), "id")
+    assert [r.n for r in numbered(times, [F.col("v"), F.col("id")], "n").orderBy("v").collect()] == list(range(60))
     with_null = spark.createDataFrame([(None, 1), (3, 2), (None, 3), (1, 4)], "v long, id long")
     assert [(r.id, r.n) for r in numbered(with_null, [F.col("v"), F.col("id")], "n").orderBy("n").collect()] == [(1, 0), (3, 1), (4, 2), (2, 3)]
 
