@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_BYTES = 50
-KMER = 24
+KMER = 20
 WINDOW = MIN_BYTES - KMER + 1
 #: Bytes of text in a block, about; and bytes of a text that one pass handles.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 PASS_BYTES = 2 << 20
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
