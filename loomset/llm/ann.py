@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .vectors import search, usable
 
 PROJECTED = 8
-CERTAINTY = 0.8
+CERTAINTY = 0.5
 LEAF = 64
 BATCH = 512
 

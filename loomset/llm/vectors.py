@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block at least and at most.  Each side travels once for every block of the other, so blocks grow with the
+#: table as far as a task's memory allows.
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 4096
+LARGEST_BLOCK = 32768
 #: (query vectors, query ids, candidate vectors, candidate ids, k) -> (query position, candidate position, score) of at most k for each query.
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -43,7 +46,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, method: Search, score
     Vectors meet only queries of their own length.
     """
     n, m = vectors.count(), queries.count()
-    n_c, n_q = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = lambda rows, least: min(LARGEST_BLOCK, max(least, rows // (4 * parts)))
+    n_c, n_q = max(1, -(-n // block(n, CANDIDATE_BLOCK))), max(1, -(-m // block(m, QUERY_BLOCK)))
     length = F.size("vector").alias("length")
     hashed = F.xxhash64("vec_id")
     left = queries.select("vec_id", "vector", length, F.pmod(hashed, F.lit(n_q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"))
