@@ -18,23 +18,47 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-#: Pre-tokens whose encodings a Python worker remembers.
+#: Pre-tokens whose encodings a Python worker remembers; as many of those before them stay until it is full again.
 REMEMBERED = 200_000
 _END = "</w>"
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
-#: The same as ``_SPLIT`` for texts without numerals that are not decimal digits, and faster.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same as ``_SPLIT`` for ordinary texts without other spaces than the blank, and faster.
 _SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^ \w]|_)+")
-_ODD_NUMERAL = regex.compile(r"[\p{Nl}\p{No}]")
+
+
+def _odd_characters() -> str:
+    """Numerals that are not decimal digits, separators that are spaces to Python alone, and what Python's Unicode does not know yet."""
+    odd = [c for c in range(0x110000) if 28 <= c <= 31 or unicodedata.category(chr(c)) in ("Nl", "No", "Cn")]
+    ranges, start = [], 0
+    for i in range(1, len(odd) + 1):
+        if i == len(odd) or odd[i] != odd[i - 1] + 1:
+            ranges.append(f"{re.escape(chr(odd[start]))}-{re.escape(chr(odd[i - 1]))}")
+            start = i
+    return "[" + "".join(ranges) + "]"
+
+
+_ODD = re.compile(_odd_characters())
+_ODD_LATIN = [c for c in range(256) if _ODD.match(chr(c))]
+
+
+def ordinary(text: str) -> bool:
+    """Whether all characters are of a kind that Python's ``re`` and the tokenizers library certainly see alike."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _ODD.search(text)
+    return not any(c in raw for c in _ODD_LATIN)
 
 
 @cache
@@ -84,6 +108,10 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+        # For texts that are not ordinary: the library's own normaliser and splitter.
+        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        self.split = pre_tokenizers.Split(Regex(_SPLIT), behavior="removed", invert=True).pre_tokenize_str
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _stable(self, one: int, two: int, until: float = float("inf")) -> bool:
@@ -134,11 +162,14 @@ class PrefixEncoder:
 
     def _remember(self, word: str) -> tuple[bytes, str]:
         if len(self.words) >= REMEMBERED:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         if len(self.pairs) >= 4 * REMEMBERED:
             self.pairs.clear()
-        ids = self.encode_word(word)
-        found = self.words[word] = (np.array(ids, dtype="<u4").tobytes(), " ".join([self.name[i] for i in ids]))
+        found = self.older.get(word)
+        if found is None:
+            ids = self.encode_word(word)
+            found = (pack(f"<{len(ids)}I", *ids), " ".join([self.name[i] for i in ids]))
+        self.words[word] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -150,11 +181,16 @@ class PrefixEncoder:
                 ids.append(int(self.special[part]).to_bytes(4, "little"))
                 names.append(part)
                 continue
-            part = _SPACE.sub(" ", part if part.isascii() else unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
-            words = (_SPLIT_PLAIN if part.isascii() or not _ODD_NUMERAL.search(part) else _SPLIT).findall(part)
+            if ordinary(part):
+                part = _SPACE.sub(" ", part if part.isascii() else unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
+                words = _SPLIT_PLAIN.findall(part)
+            else:
+                words = [w for w, _ in self.split(self.normalise(part))]
             found = [known(w) or self._remember(w) for w in words]
-            ids += [x[0] for x in found]
-            names += [x[1] for x in found]
+            if found:
+                of_ids, of_names = zip(*found, strict=True)
+                ids += of_ids
+                names += of_names
         return b"".join(ids), " ".join(names)
 
     def decode(self, ids: bytes) -> str:

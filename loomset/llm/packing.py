@@ -24,23 +24,22 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .bpe import _ODD_NUMERAL, REMEMBERED, byte_symbols
+from .bpe import REMEMBERED, byte_symbols, ordinary
 
 END_ID = 1
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 #: Pieces that wait in a task before it packs them.
 POOL = 3000
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same for texts whose numerals are all decimal digits and whose spaces both engines agree on, and faster.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for ordinary texts, and faster.
 _SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_ODD_SPACE = re.compile("[\\x1c-\\x1f]")
 
 
 class ByteTokenizer:
@@ -54,10 +53,11 @@ class ByteTokenizer:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for text in special:
             ranks.pop(text.encode(), None)
-        self.model = tiktoken.Encoding("vocabulary", pat_str=_SPLIT.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.model = tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = {text: np.uint32(i).tobytes() for text, i in special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.words: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(path)
 
     def _remember(self, word: str) -> bytes:
         if len(self.words) >= 2 * REMEMBERED:
@@ -72,12 +72,11 @@ class ByteTokenizer:
             if k % 2:
                 out.append(self.special[part])
                 continue
-            plain = part.isascii() or not _ODD_NUMERAL.search(part)
-            known = self.words.get
-            if _ODD_SPACE.search(part):
-                out.append(np.array(self.model.encode_ordinary(part), dtype="<u4").tobytes())
+            if ordinary(part):
+                known = self.words.get
+                out += [known(w) or self._remember(w) for w in _SPLIT_PLAIN.findall(part)]
             else:
-                out += [known(w) or self._remember(w) for w in (_SPLIT_PLAIN if plain else _SPLIT).findall(part)]
+                out.append(np.array(self.library.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes())
         return np.frombuffer(b"".join(out), dtype="<u4")
 
 

@@ -35,7 +35,7 @@ def test_bpe_is_the_librarys(words):
         assert np.frombuffer(ids, "<u4").tolist() == want and decoded == words.decode(want, skip_special_tokens=False) == model.decode(ids), text[:40]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.text(max_size=40))
 def test_bpe_on_any_text(text):
     words = Tokenizer.from_file(WORD) if not hasattr(test_bpe_on_any_text, "t") else test_bpe_on_any_text.t
@@ -59,7 +59,7 @@ def test_byte_tokenizer_is_the_librarys(pieces):
         assert model.encode(text).tolist() == pieces.encode(text, add_special_tokens=False).ids, text[:40]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.text(max_size=40))
 def test_byte_tokenizer_on_any_text(text):
     if any(0xD800 <= ord(c) < 0xE000 for c in text):
