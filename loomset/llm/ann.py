@@ -24,7 +24,8 @@ from .vectors import search, usable
 PROJECTED = 8
 CERTAINTY = 0.5
 LEAF = 64
-BATCH = 512
+#: Scores that one step holds.
+CELLS = 1 << 21
 
 
 def chi_square_cdf(x: float, degrees: int) -> float:
@@ -80,13 +81,14 @@ def projected_search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.
     reach = chi_square_quantile(CERTAINTY, PROJECTED)
     stages = sorted({*(-(-len(leaves) * s // 16) for s in (1, 4, 16))})
     out = []
-    for lo in range(0, len(q_all), BATCH):
-        q = q_all[lo : lo + BATCH]
+    batch = max(16, CELLS // len(x))
+    for lo in range(0, len(q_all), batch):
+        q = q_all[lo : lo + batch]
         at = q @ weights[:-1]
         gap = sum(np.maximum(0, np.maximum(low[:, d] - at[:, d, None], at[:, d, None] - high[:, d])) ** 2 for d in range(PROJECTED))
         position = np.argsort(np.argsort(gap, axis=1, kind="stable"), axis=1, kind="stable")
         score = np.full((len(q), len(x)), -np.inf)
-        mine = query_ids[lo : lo + BATCH]
+        mine = query_ids[lo : lo + batch]
         length = (q**2).sum(axis=1) + full
         furthest = np.full(len(q), np.inf)
         done = 0

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .vectors import search, usable
 
 STEP = 8
-BATCH = 256
+#: Scores that one step holds.
+CELLS = 1 << 20
 #: Bounds are tested once the typical remaining mass is below this share of the whole.
 BOUND_AT = 0.3
 #: Dense accumulation goes on until less than this share of the candidates survives.
@@ -52,9 +53,10 @@ def bounded_search(queries: np.ndarray, query_ids: np.ndarray, candidates: np.nd
         mass[b] = mass[b + 1] + (columns[cuts[b] : cuts[b + 1]] ** 2).sum(axis=0)
     mass = np.sqrt(mass)
     out = []
-    for lo in range(0, len(q_all), BATCH):
-        q = q_all[lo : lo + BATCH][:, order]
-        own = query_ids[lo : lo + BATCH, None] == ids[None, :]
+    batch = max(16, CELLS // n)
+    for lo in range(0, len(q_all), batch):
+        q = q_all[lo : lo + batch][:, order]
+        own = query_ids[lo : lo + batch, None] == ids[None, :]
         left = np.sqrt(np.concatenate([(q[:, c:] ** 2).sum(axis=1)[:, None] for c in cuts], axis=1))
         score = np.zeros((len(q), n))
         score[own] = -np.inf
