@@ -4,7 +4,8 @@ A fingerprint bit is set where over half of a text's shingle hashes set it.  Tex
 ``RADIUS`` bits are linked, and linked texts form components.
 
 Equal fingerprints meet first, so only different ones are compared.  Fingerprints that differ in at most 4 of 64 bits agree on
-at least one of 5 segments (pigeonhole), which deals them into groups without losing a link.  Within a group each fingerprint
+at least one of 5 segments, two of 6, and so on (pigeonhole), which deals them into groups without losing a link; more segments
+serve more fingerprints.  Within a group each fingerprint
 has a table of Hamming distances to reference fingerprints; by the triangle inequality two that differ in a coordinate
 by more than the radius are no link.  The others are verified on the bits.  A group returns a spanning forest of its
 links, never all pairs.  Groups that are too large for one task are cut into tiles, and pairs of tiles are compared in tasks
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ RADIUS = 4
 PIVOTS = 12
 #: Fingerprints of a group that one task compares with each other; larger groups are cut into tiles of this size.
 TILE = 1024
+#: Numbers of pairs so small that a table would cost more than it saves.
+DIRECT = 1024
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -79,10 +82,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def segment_bounds(parts: int) -> list[tuple[int, int]]:
-    """First bit and width of each of ``parts`` segments of 64 bits."""
+def segment_masks(parts: int, radius: int = RADIUS) -> list[int]:
+    """Masks of the bits on which two fingerprints may agree: every choice of ``parts - radius`` of ``parts`` segments.
+
+    ``radius`` different bits spoil at most as many segments, so all others agree, and with them one of these choices.
+    """
     cuts = [64 * i // parts for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    segments = [((1 << b - a) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(segments, parts - radius)]
+
+
+def segments_for(n: int) -> int:
+    """Fewest segments with which groups of unrelated fingerprints stay well below a tile."""
+    return next((p for p in range(RADIUS + 1, 9) if n >> 64 * (p - RADIUS) // p <= TILE // 4), 9)
 
 
 class Forest:
@@ -113,6 +125,13 @@ def links(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray,
     first coordinate, so only a window of them can lie within the radius; the other coordinates discard most of the
     window before any pair is verified.
     """
+    if len(left) * len(right) <= DIRECT:
+        i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= RADIUS)
+        if same:
+            i, j = i[i < j], j[i < j]
+        forest, shift = Forest(len(left) + (0 if same else len(right))), 0 if same else len(left)
+        kept = np.array([forest.union(a, shift + b) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+        return i[kept], j[kept]
     everything = left if same else np.concatenate((left, right))
     step = max(1, len(everything) // PIVOTS)
     pivots = everything[::step][:PIVOTS]
@@ -142,13 +161,15 @@ def links(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray,
     return np.array(out_i, np.int64), np.array(out_j, np.int64)
 
 
-def fingerprint_links(fps: DataFrame, parts: int = RADIUS + 1) -> DataFrame:
+def fingerprint_links(fps: DataFrame, parts: int | None = None) -> DataFrame:
     """Pairs a, b of linked fingerprints whose components are those of all links; ``fps``: one column fp, distinct.
 
-    Group sizes are counted first.  Each group is dealt into tiles by a hash, and each pair of tiles is one task's work, so
-    a group that holds a third of all fingerprints is spread like any other.
+    The number of segments follows the number of fingerprints (``segments_for``).  Group sizes are counted first.  Each group is
+    dealt into tiles by a hash, and each pair of tiles is one task's work, so a group that holds a third of all fingerprints
+    is spread like any other.
     """
-    keys = [F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k, (start, width) in enumerate(segment_bounds(parts))]
+    masks = segment_masks(parts or segments_for(fps.count()))
+    keys = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for k, m in enumerate(masks)]
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.part", "key.value")
     sizes = dealt.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).drop("n")

@@ -48,9 +48,11 @@ def near_corpus():
     return texts + [None, "", "  ", "Some Words", "some\twords", "UPPER Case ß É"] + [texts[0]] * 5
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_simhash_against_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, parts", [(4, 5), (1024, 5), (1024, 6), (8, 7)])
+def test_simhash_against_brute_force(spark, monkeypatch, tile, parts):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "DIRECT", 100)
+    monkeypatch.setattr(simhash, "segments_for", lambda n: parts)
     texts = near_corpus()
     docs = spark.createDataFrame([(i * 3 + 1, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, fp string, a int").repartition(3)
     found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
@@ -60,6 +62,11 @@ def test_simhash_against_brute_force(spark, monkeypatch, tile):
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {c for _, c in found.values()}
 
 
+def test_segments():
+    assert [len(simhash.segment_masks(p)) for p in (5, 6, 7)] == [5, 15, 35]
+    assert simhash.segments_for(10**5) == 5 and simhash.segments_for(10**7) == 6 and simhash.segments_for(10**10) > 6
+
+
 def test_links_of_random_and_close_prints():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 40).astype(np.uint64)
