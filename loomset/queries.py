@@ -284,14 +284,14 @@ def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT coalesce(c.k, s.k) AS c_nationkey, customers, suppliers
+SELECT coalesce(c.k, s.k) AS c_nationkey, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers
 FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c
 FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON c.k = s.k""")
 def cogroup_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark, sf_dir, "customer", "supplier")
     db = db.with_relations({"customer": db["customer"].where(c_acctbal__gt=9000), "supplier": db["supplier"].where(s_acctbal__gt=5000)})
     groups = cogroup(db, {"customer": "c_nationkey", "supplier": "s_nationkey"}).result.df
-    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("long"))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).cast("long")
     return groups.select("c_nationkey", size("customer").alias("customers"), size("supplier").alias("suppliers"))
 
 
