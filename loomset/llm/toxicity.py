@@ -1,6 +1,6 @@
 """Toxicity from subword bags.
 
-A text is cut into bags of ``BAG_WORDS`` consecutive words.  Every word stands for its character n-grams (bytes, word
+A text is cut into bags of ``BAG_WORDS`` consecutive words (runs of one word count once).  Every word stands for its character n-grams (bytes, word
 borders included), hashed to rows of an embedding table; a bag is the mean of its n-gram vectors and a linear softmax
 turns that mean into clean or toxic.  Table and softmax are trained jointly in numpy, so a misspelled word that was never
 seen still shares most n-gram vectors with its correct form.  A text is as toxic as its worst bag.
@@ -44,6 +44,27 @@ class ToxicityModel:
     shift: float
 
 
+_LETTER = np.random.default_rng(3).integers(1, 1 << 62, 256)
+
+
+def _folded(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Lower-case words; a word that repeats the one before it is left out, so that no bag is one word alone."""
+    folded = FOLD[raw]
+    first, end = word_spans(folded)
+    if len(first) < 2:
+        return folded
+    text = np.searchsorted(starts, first, side="right")
+    # Sums of letter codes: words of the same letters count as equal.
+    key = np.add.reduceat(_LETTER[folded], np.stack((first, end), axis=1).ravel())[::2]
+    again = np.flatnonzero((key[1:] == key[:-1]) & (text[1:] == text[:-1])) + 1
+    if len(again):
+        change = np.zeros(len(folded) + 1, dtype=np.int8)
+        change[first[again]] += 1
+        change[end[again]] -= 1
+        folded[np.cumsum(change[:-1], dtype=np.int8) > 0] = 32
+    return folded
+
+
 def _bag_starts(folded: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position before the first word of each bag, and the bag's text."""
     first, _ = word_spans(folded)
@@ -56,7 +77,7 @@ def _bag_starts(folded: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 def bag_logits(texts: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean n-gram weight of each bag, and the bag's text."""
     raw, starts = joined(texts)
-    folded = FOLD[raw]
+    folded = _folded(raw, starts)
     opens, text = _bag_starts(folded, starts)
     if not len(opens):
         return np.zeros(0), text
@@ -82,7 +103,7 @@ def _bags(texts: list[bytes], share: np.ndarray, rng: np.random.Generator) -> tu
     buckets, ends, owners, done = [], [], [], 0
     for lo, hi in chunks(texts, 1 << 18):
         raw, starts = joined(texts[lo:hi])
-        folded = FOLD[raw]
+        folded = _folded(raw, starts)
         opens, text = _bag_starts(folded, starts)
         chosen = rng.random(len(opens)) < share[text + lo]
         if not chosen.any():
