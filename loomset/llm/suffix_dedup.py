@@ -5,7 +5,8 @@ each window of ``MIN_BYTES`` bytes belongs to its minimizer, the k-mer in it wit
 same minimizer wherever they stand.  Consecutive windows of one minimizer form a stretch of text.
 
 1. ``_announce``: documents lie in blocks; each block reports the minimizers it has to buckets by their hash, four bytes each.
-2. ``_shared``: a bucket answers one bit for each: whether another document has it too.
+2. ``_shared``: a bucket answers two bits for each: whether another document has it too, and whether it is crowded, with more than
+   ``MOST_STRINGS`` different stretches.
 3. ``_send``: blocks send the different stretches of shared minimizers to the buckets, with their smallest and largest doc_id.
 4. ``_maximal_repeats``: a bucket sorts the suffixes of its stretches, computes common-prefix lengths of neighbours and scans
    them with a stack, which visits every node of the common-prefix interval tree.  A node whose suffixes are all preceded by
@@ -14,7 +15,10 @@ same minimizer wherever they stand.  Consecutive windows of one minimizer form a
 5. ``_apply``: blocks map the repeats back to places in their documents.
 
 A copy's stretches are equal, so a block sends them once however many copies it holds: a group that has a third of all rows
-costs a bucket one string for each block.  Text is shuffled once; all steps share that exchange.
+costs a bucket one string for each block.  A passage in ever differing surroundings gives the minimizers near its ends one stretch
+for each document; of such crowded minimizers each window is sent alone, to the bucket of its own hash, so they are spread over
+all buckets.  Equal windows still meet, so the same bytes are found; repeats there are not joined beyond one window.
+Text is shuffled once; all steps share that exchange.
 
 Defined results: a null text is empty and nothing of it is removed, nor of a text under ``MIN_BYTES`` bytes.  Rows of equal
 doc_id do not remove each other's text.  A null doc_id counts as smaller than every other.  All texts are handled as bytes, NUL included.
@@ -36,6 +40,8 @@ WINDOW = MIN_BYTES - KMER + 1
 #: Bytes of text in a block, about; and bytes of a text that one pass handles.
 BLOCK_BYTES = 4 << 20
 PASS_BYTES = 2 << 20
+#: Different stretches of one minimizer that one bucket takes; the windows of more are dealt by their own hashes.
+MOST_STRINGS = 4096
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _BYTE_CODE = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64)
@@ -60,6 +66,17 @@ def _hashes(raw: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
+def _string_hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes begin to end of the buffer, wherever they stand."""
+    raw = np.frombuffer(buffer, np.uint8)
+    powers = np.full(len(raw) + 1, np.uint64(_BASE))
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    before = np.append(np.uint64(0), np.cumsum(_BYTE_CODE[raw] * powers[:-1]))
+    # Divided by the power of its place.
+    return (before[end] - before[begin]) * powers[len(raw) - begin] * np.uint64(pow(_BASE, -len(raw), 1 << 64))
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest of the ``width`` values from each position on."""
     size = 1
@@ -124,32 +141,41 @@ class _Block:
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.rows, self.ids, self.texts = order, np.array([ids[i] for i in order], dtype=np.int64), [texts[i] for i in order]
 
-    def minimizers(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Different codes in order, and whether two documents of the block have it."""
-        code, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, _, _, text, _, hashes in stretches(self.texts):
+    def minimizers(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different codes in order, whether two documents of the block have it, and how many different stretches it has."""
+        code, doc, string = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for buffer, begin, end, text, _, hashes in stretches(self.texts):
             code.append(_codes(hashes, buckets))
             doc.append(self.ids[text])
-        code, doc = np.concatenate(code), np.concatenate(doc)
+            string.append(_string_hashes(buffer, begin, end))
+        code, doc, string = np.concatenate(code), np.concatenate(doc), np.concatenate(string)
         if not len(code):
-            return code, np.zeros(0, bool)
-        order = np.argsort(code, kind="stable")
-        code, doc = code[order], doc[order]
-        head = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        return code[head], np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-
-    def shared(self, bits: pd.DataFrame, buckets: int) -> np.ndarray:
-        """The codes that the buckets called shared, in order."""
-        code, _ = self.minimizers(buckets)
+            return code, np.zeros(0, bool), np.zeros(0, np.int64)
+        order = np.lexsort((string, code))
+        code, doc, string = code[order], doc[order], string[order]
+        fresh = np.append(True, code[1:] != code[:-1])
+        head = np.flatnonzero(fresh)
+        different = np.add.reduceat((fresh | np.append(True, string[1:] != string[:-1])).astype(np.int64), head)
+        return code[head], np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head), different
+
+    def codes(self, buckets: int) -> np.ndarray:
+        """Different codes in order."""
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(_codes(hashes, buckets) for *_, hashes in stretches(self.texts))]))
+
+    def shared(self, bits: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The codes that the buckets called shared, in order, and whether each is crowded."""
+        code = self.codes(buckets)
         cut = np.searchsorted(code >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        keep = np.zeros(len(code), dtype=bool)
-        for bucket, packed in zip(bits["bucket"], bits["bits"], strict=True):
+        keep, crowded = np.zeros(len(code), dtype=bool), np.zeros(len(code), dtype=bool)
+        for bucket, packed, full in zip(bits["bucket"], bits["bits"], bits["crowded"], strict=True):
             lo, hi = cut[bucket], cut[bucket + 1]
             keep[lo:hi] = np.unpackbits(np.frombuffer(packed, np.uint8), count=hi - lo).astype(bool)
-        return code[keep]
+            crowded[lo:hi] = np.unpackbits(np.frombuffer(full, np.uint8), count=hi - lo).astype(bool)
+        return code[keep], crowded[keep]
 
-    def shared_stretches(self, shared: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, int, int]]:
-        """(bucket, string, text, place) of each stretch of a shared minimizer."""
+    def shared_stretches(self, shared: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[tuple[int, bytes, int, int]]:
+        """(bucket, string, text, place) of each stretch of a shared minimizer, or of each window of a crowded one."""
+        shared, crowded = shared
         if not len(shared):
             return
         for buffer, begin, end, text, place, hashes in stretches(self.texts):
@@ -157,36 +183,69 @@ class _Block:
             found = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
             at = np.flatnonzero(shared[found] == code)
             bucket = (code[at] >> np.uint64(32)).astype(np.int64)
-            for b, lo, hi, t, p in zip(bucket.tolist(), begin[at].tolist(), end[at].tolist(), text[at].tolist(), place[at].tolist(), strict=True):
+            begin, end, text, place = begin[at], end[at], text[at], place[at]
+            split = crowded[found[at]]
+            if split.any():
+                # In the order of the text, so that the first and the last document of a window come first and last.
+                n = np.where(split, end - begin - MIN_BYTES + 1, 1)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                split, bucket, text = np.repeat(split, n), np.repeat(bucket, n), np.repeat(text, n)
+                begin, end, place = np.repeat(begin, n) + step, np.repeat(end, n), np.repeat(place, n) + step
+                end[split] = begin[split] + MIN_BYTES
+                bucket[split] = _window_buckets(buffer, begin[split], buckets)
+            for b, lo, hi, t, p in zip(bucket.tolist(), begin.tolist(), end.tolist(), text.tolist(), place.tolist(), strict=True):
                 yield b, buffer[lo:hi], t, p
 
 
+def _window_buckets(buffer: bytes, begin: np.ndarray, buckets: int) -> np.ndarray:
+    code = _string_hashes(buffer, begin, begin + MIN_BYTES)
+    code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((code >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _announce(buckets: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        code, several = _Block(rows).minimizers(buckets)
+        code, several, different = _Block(rows).minimizers(buckets)
         cut = np.searchsorted(code >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
         full = np.flatnonzero(cut[1:] > cut[:-1])
         low = (code & np.uint64(0xFFFFFFFF)).astype("<u4")
         return pd.DataFrame({
             "bucket": full.astype(np.int32), "block": np.full(len(full), key[0], np.int32),
             "codes": [low[cut[b] : cut[b + 1]].tobytes() for b in full], "several": [np.packbits(several[cut[b] : cut[b + 1]]).tobytes() for b in full],
+            "more": [_more(different[cut[b] : cut[b + 1]]) for b in full],
         })
 
     return run
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    parts = [np.frombuffer(c, "<u4") for c in rows["codes"]]
-    several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)).astype(bool) for s, p in zip(rows["several"], parts, strict=True)]
-    code, flag = np.concatenate(parts), np.concatenate(several)
-    order = np.argsort(code, kind="stable")
-    head = np.append(True, code[order][1:] != code[order][:-1])
-    group = np.cumsum(head) - 1
-    many = (np.bincount(group) > 1) | (np.bincount(group, weights=flag[order]) > 0)
-    answer = np.empty(len(code), dtype=bool)
-    answer[order] = many[group]
-    ends = np.cumsum([len(p) for p in parts])
-    return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "bits": [np.packbits(answer[e - len(p) : e]).tobytes() for e, p in zip(ends, parts, strict=True)]})
+def _more(different: np.ndarray) -> bytes:
+    """Place and number of all numbers over 1."""
+    at = np.flatnonzero(different > 1)
+    return np.stack((at, different[at]), axis=1).astype("<u4").tobytes()
+
+
+def _shared(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(c, "<u4") for c in rows["codes"]]
+        several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)).astype(bool) for s, p in zip(rows["several"], parts, strict=True)]
+        code, flag = np.concatenate(parts), np.concatenate(several)
+        ends = np.cumsum([len(p) for p in parts])
+        different = np.ones(len(code))
+        for more, e, p in zip(rows["more"], ends, parts, strict=True):
+            at, n = np.frombuffer(more, "<u4").reshape(-1, 2).T
+            different[e - len(p) + at.astype(np.int64)] = n
+        order = np.argsort(code, kind="stable")
+        head = np.append(True, code[order][1:] != code[order][:-1])
+        group = np.cumsum(head) - 1
+        many = (np.bincount(group) > 1) | (np.bincount(group, weights=flag[order]) > 0)
+        answer, crowded = np.empty(len(code), dtype=bool), np.empty(len(code), dtype=bool)
+        answer[order] = many[group]
+        # A sum over blocks, so at least the number of different stretches.
+        crowded[order] = (np.bincount(group, weights=different[order]) > most)[group]
+        packed = {c: [np.packbits(x[e - len(p) : e]).tobytes() for e, p in zip(ends, parts, strict=True)] for c, x in (("bits", answer), ("crowded", crowded))}
+        return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), **packed})
+
+    return run
 
 
 def _send(buckets: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -382,15 +441,15 @@ def _blocks(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     return docs.select(*own, *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)]), buckets
 
 
-def _exchanged(docs: DataFrame, columns: list[str], every: bool) -> tuple[DataFrame, DataFrame, int]:
+def _exchanged(docs: DataFrame, columns: list[str], every: bool, most: int) -> tuple[DataFrame, DataFrame, int]:
     rows, buckets = _blocks(docs, columns)
     by_block = rows.groupBy("__block")
-    told = by_block.applyInPandas(_announce(buckets), "bucket int, block int, codes binary, several binary")
-    bits = told.groupBy("bucket").applyInPandas(_shared, "block int, bucket int, bits binary")
+    told = by_block.applyInPandas(_announce(buckets), "bucket int, block int, codes binary, several binary, more binary")
+    bits = told.groupBy("bucket").applyInPandas(_shared(most), "block int, bucket int, bits binary, crowded binary")
     sent = by_block.cogroup(bits.groupBy("block")).applyInPandas(_send(buckets), "bucket int, block int, strings binary, lengths binary, first binary, last binary")
     found = sent.groupBy("bucket").applyInPandas(_maximal_repeats(every), "block int, bucket int, string binary, offset binary, length binary, smallest binary, repeat binary")
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("string", "offset", "length", "smallest", "repeat")]
-    answers = bits.select("block", "bucket", "bits", *nothing).unionByName(found.withColumn("bits", F.lit(None).cast("binary")))
+    answers = bits.select("block", "bucket", "bits", "crowded", *nothing).unionByName(found.withColumns({c: F.lit(None).cast("binary") for c in ("bits", "crowded")}))
     return rows, answers, buckets
 
 
@@ -398,19 +457,19 @@ def _doc_id() -> F.Column:
     return F.when(F.col("__id") != _NO_ID, F.col("__id")).alias("doc_id")
 
 
-def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, columns: list[str] | None = None, most: int = MOST_STRINGS) -> DataFrame:
     """doc_id, text (bytes), spans (array of start and length), kept (bytes), kept_text and __c0, __c1 ... for ``columns`` of every row."""
     columns = columns or []
-    rows, answers, buckets = _exchanged(docs, columns, every=False)
+    rows, answers, buckets = _exchanged(docs, columns, every=False, most=most)
     names = ["__id", "__text", *[f"__c{i}" for i in range(len(columns))]]
     schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
     found = rows.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(_apply(buckets, names), f"{schema}, spans array<struct<start: long, length: long>>, kept binary, kept_text string")
     return found.select(_doc_id(), F.col("__text").alias("text"), "spans", "kept", "kept_text", *names[2:])
 
 
-def maximal_repeats(docs: DataFrame) -> DataFrame:
+def maximal_repeats(docs: DataFrame, most: int = MOST_STRINGS) -> DataFrame:
     """repeat, length, doc_id and start of all occurrences of each maximal repeat within a stretch, in every document that has it."""
-    rows, answers, buckets = _exchanged(docs, [], every=True)
+    rows, answers, buckets = _exchanged(docs, [], every=True, most=most)
 
     def run(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block, is_bits = _Block(rows), answers["bits"].notna()

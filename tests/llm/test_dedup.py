@@ -144,6 +144,33 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
     assert digests(suffix_dedup.remove_repeats(docs)) == slow_repeats([(i, t.encode()) for i, t in rows])
 
 
+@pytest.mark.parametrize("most", [1, 5])
+def test_suffix_dedup_with_crowded_minimizers(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "PASS_BYTES", 700)
+    line = prose(1, 14)
+    rows = [(i % 50, prose(f"a{i}", 6) + line + prose(f"b{i}", 6)) for i in range(80)] + [(70 + i, prose(2, 40)) for i in range(5)] + [(None, line * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = slow_repeats([(-(1 << 63) if i is None else i, t.encode()) for i, t in rows])
+    assert digests(suffix_dedup.remove_repeats(docs, most=most)) == want
+    assert {(r.doc_id, r.start + k) for r in suffix_dedup.maximal_repeats(docs, most=most).collect() for k in range(r.length)} == {
+        (r.doc_id, r.start + k) for r in suffix_dedup.maximal_repeats(docs).collect() for k in range(r.length)
+    }
+
+
+def test_a_passage_in_many_surroundings_is_spread_over_buckets(spark):
+    line, n = prose(1, 40), 6000
+    docs = spark.createDataFrame([(i, f"{i * 7919 % 100003:08d}" * 5 + line + f"{i * 104729 % 100003:08d}" * 5) for i in range(n)], "doc_id long, text string")
+    sent = {}
+    # The step that sends strings to buckets, without Spark: one block of all documents.
+    rows = docs.selectExpr("doc_id AS __id", "CAST(text AS BINARY) AS __text").toPandas()
+    bits = suffix_dedup._announce(64)((0,), rows)
+    answer = suffix_dedup._shared(suffix_dedup.MOST_STRINGS)(bits)
+    for r in suffix_dedup._send(64)((0,), rows, answer).itertuples():
+        sent[r.bucket] = len(r.lengths)
+    assert sum(sent.values()) > n and max(sent.values()) < 4 * sum(sent.values()) / 64
+
+
 def test_suffix_dedup_on_odd_tables(spark):
     docs = odd_documents(spark)
     rows = [(-(1 << 63) if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect()]
