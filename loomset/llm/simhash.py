@@ -14,6 +14,10 @@ of their own.
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and are linked like any other.  A
 text of fewer than four words is one shingle.  Repeated rows are in one component.  Null doc_ids do not occur in documents;
 such a row keeps its fingerprint and gets the component of its group, or null alone.
+
+``keep_one_similar`` serves the pipeline and links by similarity instead: texts whose sets of shingles have a Jaccard similarity of at
+least ``least``.  Fingerprints cannot find these: at 0.8 they differ in about ten bits.  Candidates are texts that agree in
+all minima of a band (MinHash); their sets are compared exactly, in tiles like those above, before anything is linked.
 """
 
 from __future__ import annotations
@@ -41,6 +45,9 @@ PIVOTS = 12
 TILE = 1024
 #: Numbers of pairs so small that a table would cost more than it saves.
 DIRECT = 1024
+#: Bands, and minima in each, by which similar sets meet: 0.998 of the pairs at a similarity of 0.8 share a band, more above.
+BANDS, BAND = 12, 4
+_MASKS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * BAND, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -227,8 +234,141 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique __row; kept in the shared folder, as numbers could differ when rows are read again."""
+    return durable(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _first_of_each(docs: DataFrame, rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The first row of each component; ``rows``: __row, doc_id and key of every row, ``edges``: linked keys a, b.
+
+    First is the smallest doc_id, null after all others, and of equal ones the smallest __row.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "__row")
+    firsts = rows.groupBy("key").agg(F.min(place).alias("first"))
+    named = firsts.join(components(edges).select(F.col("id").alias("key"), "component"), "key", "left")
+    kept = named.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first")).select("first.__row")
+    return docs.join(kept, "__row", "left_semi").drop("__row")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row of each component's smallest doc_id, all columns unchanged; of rows with that same doc_id, one."""
     found = near_duplicates(docs)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band of a set of shingles; equal with the band's minima."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 8192):
+        least = np.minimum(least, ((hashes[None, lo : lo + 8192] ^ _MASKS) * _FACTORS).min(axis=1))
+    return np.array([xxh64_intdigest(band.tobytes(), SEED) for band in least.reshape(BANDS, BAND)], dtype=np.uint64).view(np.int64)
+
+
+def similar_pairs(sets: list[np.ndarray], least: float, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions (i, j) of a spanning forest of the pairs of sets with a Jaccard similarity of ``least``; with ``tile``, of pairs of different tiles."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, names, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # What only one set has is shared with none.
+    common = often[names] > 1
+    names, owner = names[common], owner[common]
+    bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
+    lead, out = np.arange(len(sets)), []
+    mark = np.zeros(len(often), dtype=bool)
+    for i in range(len(sets) - 1):
+        open_ = (lead != lead[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]) - 1e-9)
+        open_[: i + 1] = False
+        if tile is not None:
+            open_ &= tile != tile[i]
+        if not open_.any():
+            continue
+        mine = names[bounds[i] : bounds[i + 1]]
+        mark[mine] = True
+        shared = np.bincount(owner, weights=mark[names], minlength=len(sets))
+        mark[mine] = False
+        for j in np.flatnonzero(open_ & (shared >= least * (sizes + sizes[i] - shared) - 1e-9)).tolist():
+            if lead[j] != lead[i]:
+                out.append((i, j))
+                lead[lead == lead[j]] = lead[i]
+    return out
+
+
+def _set_rows(docs: DataFrame, width: int) -> DataFrame:
+    """__row, key (a hash of the set of shingles; equal sets have equal keys) and bands of every row; none for an empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                keys, bands = [], []
+                for text in as_bytes(part.column("text")):
+                    found = shingle_set(text, width)
+                    keys.append(xxh64_intdigest(found.tobytes(), SEED))
+                    bands.append(band_keys(found) if len(found) else [])
+                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["__row", "key", "bands"])
+
+    return docs.select("__row", "text").mapInArrow(run, "__row long, key long, bands array<long>")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """key and shingles (sorted hashes) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                found = [shingle_set(t, width).tobytes() for t in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.binary())], ["key", "shingles"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, shingles binary")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Keys a, b of pairs of similar sets whose components are those of all similar pairs that share a band.
+
+    Bands of the same members are compared once.  Groups over ``TILE`` are cut into tiles, and a pair of tiles is compared at a time.
+    """
+    dealt = rows.select("key", F.posexplode("bands").alias("band", "value")).distinct()
+    groups = dealt.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members")).where("n > 1")
+    once = groups.groupBy("n", "members").agg(F.min(F.struct("band", "value")).alias("group"))
+    once = durable(once.select("group.band", "group.value", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    # Few groups are large, and their members stay where they are.
+    marked = dealt.join(F.broadcast(once.where("tiles > 1")), ["band", "value"], "left")
+    small = marked.where("tiles IS NULL").drop("tiles").join(once.where("tiles = 1"), ["band", "value"])
+    placed = marked.where("tiles IS NOT NULL").unionByName(small).withColumn("tile", F.pmod(F.xxhash64("key", F.lit(3)), F.col("tiles")).cast("int"))
+    placed = durable(placed)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("lo"), F.greatest(t, F.col("tile")).alias("hi")))
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TILE)
+    cells = placed.withColumn("cell", F.explode(pairs)).select("key", "tile", "band", "value", "cell.lo", "cell.hi")
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("band", "value", "lo", "hi"), F.lit(buckets)))
+    chosen = rows.groupBy("key").agg(F.min("__row").alias("__row")).join(placed.select("key").distinct(), "key", "left_semi")
+    sets = _sets(docs.select("__row", "text").join(chosen, "__row"), width)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for (_, _, lo, hi), cell in rows.groupby(["band", "value", "lo", "hi"], sort=False):
+            cell = cell.sort_values("key")
+            key = cell["key"].to_numpy()
+            if len(key) > 1:
+                found = similar_pairs([np.frombuffer(x, np.uint64) for x in cell["shingles"]], least, cell["tile"].to_numpy() if lo != hi else None)
+                out += [(key[i], key[j]) for i, j in found]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return cells.join(sets, "key").groupBy("bucket").applyInPandas(compare, "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of similar texts, all columns unchanged: the smallest doc_id, null after all others; one row of that doc_id.
+
+    Texts are similar whose sets of runs of ``width`` words have a Jaccard similarity of ``least``, or that have no word.
+    """
+    docs, columns = _numbered(docs), docs.columns
+    rows = durable(_set_rows(docs, width))
+    edges = similar_links(docs, rows, width, least)
+    return _first_of_each(docs, docs.select("__row", "doc_id").join(rows.select("__row", "key"), "__row"), edges).select(columns)

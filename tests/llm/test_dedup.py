@@ -96,6 +96,60 @@ def test_simhash_on_odd_tables(spark):
     assert simhash.near_duplicates(empty(docs)).count() == 0 and simhash.keep_one(empty(docs)).count() == 0
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def firsts_of_similar(rows):
+    """Ids of the first row of each component of pairs with a similarity of 0.8 in runs of five words."""
+    sets = [shingles(t) for _, t in rows]
+    lead = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if sets[x] == sets[y] or len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9:
+                lead = [lead[y] if v == lead[x] else v for v in lead]
+    groups = {}
+    for v, (i, _) in zip(lead, rows, strict=True):
+        groups.setdefault(v, []).append(i)
+    return sorted((min(g, key=lambda i: (i is None, i)) for g in groups.values()), key=lambda i: (i is None, i))
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_near_copies_by_similarity(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    r, texts = random.Random(6), []
+    for i in range(12):
+        base = prose(f"n{i}", 150)
+        texts.append(base)
+        for edits in (1, 2, 3, 4, 9):
+            words = base.split()
+            for k in r.sample(range(10, 140), edits):
+                words[k] = f"edit{i}x{k}"
+            texts.append(" ".join(words))
+    # One word in most places gives equal fingerprints to texts that share little else.
+    texts += ["spam " * 200 + prose("p", 60), "spam " * 200 + prose("q", 60), None, "", "three words here", "Three words here"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(i for i, _ in simhash.keep_one_similar(docs).collect()) == firsts_of_similar(rows)
+
+
+def test_recall_of_bands():
+    r = random.Random(2)
+    met, pairs = 0, 0
+    for i in range(200):
+        words = prose(f"r{i}", 300).split()
+        other = list(words)
+        for k in range(r.randrange(25), 300, 43):
+            other[k] = "edited"
+        a, b = (simhash.shingle_set(" ".join(w).encode(), 5) for w in (words, other))
+        shared = len(np.intersect1d(a, b))
+        if shared >= 0.78 * (len(a) + len(b) - shared):
+            pairs += 1
+            met += bool((simhash.band_keys(a) == simhash.band_keys(b)).any())
+    assert pairs > 100 and met >= 0.98 * pairs
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)]
     hub = [(100, 100 + i) for i in range(1, 80)]
