@@ -252,10 +252,11 @@ def _first_of_each(docs: DataFrame, rows: DataFrame, edges: DataFrame) -> DataFr
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of each component's smallest doc_id, all columns unchanged; of rows with that same doc_id, one."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each component of fingerprints, all columns unchanged: the smallest doc_id, null after all others; one row of that doc_id."""
+    docs, columns = _numbered(docs), docs.columns
+    prints = fingerprints(docs.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("fp").alias("key"))
+    rows = durable(docs.select("__row", "doc_id").join(prints, "__row"))
+    return _first_of_each(docs, rows, fingerprint_links(rows.select(F.col("key").alias("fp")).distinct())).select(columns)
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:

@@ -150,6 +150,17 @@ def test_recall_of_bands():
     assert pairs > 100 and met >= 0.98 * pairs
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, simhash.keep_one_similar])
+def test_kept_rows_without_id_and_repeated_rows(spark, keep):
+    docs = odd_documents(spark)
+    twice = docs.where("doc_id = 13 OR doc_id IS NULL")
+    kept = keep(docs.unionByName(twice))
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.schema == docs.schema and len(ids) == len(set(ids)) and {None, 0, 13} <= set(ids) and not {1, 2, 3} & set(ids)
+    clean = spark.createDataFrame([(None, prose("u", 60)), (None, prose("v", 60)), (4, prose("w", 60)), (4, prose("w", 60)), (None, prose("w", 60))], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in keep(clean).collect()) == sorted([(0, prose("u", 60)), (0, prose("v", 60)), (4, prose("w", 60))])
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)]
     hub = [(100, 100 + i) for i in range(1, 80)]
