@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from .durable import durable
 
-
 #: Parts into which a join deals the rows of one id, so that a hub or a large component is no single task's work.
 SALTS = 16
 
 
-def _with_label(rows: DataFrame, labels: DataFrame, key: str, how: str) -> DataFrame:
-    """Join on ``key``, of which ``rows`` may hold any number of equal values and ``labels`` one each."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-    return salted.join(labels.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "__salt"], how).drop("__salt")
+def salted_join(rows: DataFrame, labels: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, of which ``rows`` may hold any number of equal values, told apart by column ``by``, and ``labels`` one each."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(labels.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*([key] if isinstance(key, str) else key), "__salt"], how).drop("__salt")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -29,11 +28,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     labels = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     for _ in range(most_rounds):
         theirs = labels.select(F.col("a").alias("b"), F.col("label").alias("other"))
-        least = _with_label(both, theirs, "b", "inner").groupBy("a").agg(F.min("other").alias("least"))
+        least = salted_join(both, theirs, "b", by="a").groupBy("a").agg(F.min("other").alias("least"))
         lower = labels.join(least, "a", "left").select("a", F.col("label").alias("before"), F.least("label", F.coalesce("least", "label")).alias("label"))
         # Every label is an id; following its own label halves the path to the smallest.
         up = lower.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        jumped = durable(_with_label(lower, up, "label", "left").select("a", "before", F.least("label", F.coalesce("up", "label")).alias("label")))
+        jumped = durable(salted_join(lower, up, "label", by="a", how="left").select("a", "before", F.least("label", F.coalesce("up", "label")).alias("label")))
         changed = jumped.where(F.col("label") < F.col("before")).limit(1).count()
         labels = jumped.select("a", "label")
         if not changed:

@@ -5,15 +5,16 @@ A fingerprint bit is set where over half of a text's shingle hashes set it.  Tex
 
 Equal fingerprints meet first, so only different ones are compared.  Fingerprints that differ in at most 4 of 64 bits agree on
 at least one of 5 segments, two of 6, and so on (pigeonhole), which deals them into groups without losing a link; more segments
-serve more fingerprints.  Within a group each fingerprint
-has a table of Hamming distances to reference fingerprints; by the triangle inequality two that differ in a coordinate
-by more than the radius are no link.  The others are verified on the bits.  A group returns a spanning forest of its
-links, never all pairs.  Groups that are too large for one task are cut into tiles, and pairs of tiles are compared in tasks
-of their own.
+serve more fingerprints.  Each fingerprint has a pivot table, its Hamming distances to ``PIVOTS`` reference fingerprints, computed
+once and kept as a column.  By the triangle inequality two fingerprints that differ in a coordinate by more than the radius are
+no link, so every pair of a group is first tested by its largest coordinate difference, whatever the group's size; only what passes
+is verified on the bits.  A group returns a spanning forest of its links, never all pairs.  Groups that are too large for one task are
+cut into tiles, and pairs of tiles are compared in tasks of their own.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and are linked like any other.  A
-text of fewer than four words is one shingle.  Repeated rows are in one component.  Null doc_ids do not occur in documents;
-such a row keeps its fingerprint and gets the component of its group, or null alone.
+text of fewer than four words is one shingle.  Repeated rows are in one component; rows of one doc_id with different texts are
+told apart by their fingerprints.  A row with a null doc_id keeps its fingerprint and gets the smallest doc_id of its component, null if
+that has none.
 
 ``keep_one_similar`` serves the pipeline and links by similarity instead: texts whose sets of shingles have a Jaccard similarity of at
 least ``least``.  Fingerprints cannot find these: at 0.8 they differ in about ten bits.  Candidates are texts that agree in
@@ -34,17 +35,18 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ._text import as_bytes
-from .components import components
+from .components import components, salted_join
 from .durable import durable
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-PIVOTS = 12
+#: Reference fingerprints of the pivot tables.
+PIVOTS = 32
 #: Fingerprints of a group that one task compares with each other; larger groups are cut into tiles of this size.
 TILE = 1024
-#: Numbers of pairs so small that a table would cost more than it saves.
-DIRECT = 1024
+#: Pairs that one step holds.
+PAIRS = 1 << 20
 #: Bands, and minima in each, by which similar sets meet: 0.998 of the pairs at a similarity of 0.8 share a band, more above.
 BANDS, BAND = 12, 4
 _MASKS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * BAND, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,6 +106,27 @@ def segments_for(n: int) -> int:
     return next((p for p in range(RADIUS + 1, 9) if n >> 64 * (p - RADIUS) // p <= TILE // 4), 9)
 
 
+def pivot_prints() -> np.ndarray:
+    """The reference fingerprints: ``PIVOTS`` random ones, the same for every corpus, so that tables of different runs can be compared."""
+    return np.random.default_rng(29).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
+
+
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """Hamming distances of each fingerprint to the reference fingerprints, a byte each."""
+    return np.bitwise_count(fps[:, None] ^ pivot_prints()[None, :]).astype(np.uint8)
+
+
+def with_table(fps: DataFrame) -> DataFrame:
+    """``fps`` with the pivot table of each fingerprint as a column; computed once, it travels with the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pivot_table(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([r.tobytes() for r in rows], pa.binary())], ["fp", "distances"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, distances binary")
+
+
 class Forest:
     """Disjoint sets of positions; the smallest position leads."""
 
@@ -125,51 +148,56 @@ class Forest:
         return True
 
 
-def links(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of a spanning forest of the links between two sets of fingerprints, or within one.
+def links(fps: np.ndarray, table: np.ndarray, group: np.ndarray, tile: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (i, j) of a spanning forest of the links within each group, and how many pairs the table saw, let pass, and were links.
 
-    Each row of the pivot table holds the distances to reference fingerprints drawn from the data.  Rows are sorted by the
-    first coordinate, so only a window of them can lie within the radius; the other coordinates discard most of the
-    window before any pair is verified.
+    Rows are sorted by group and first coordinate of the table, so that only a window of them can lie within the radius; the
+    largest coordinate difference discards most of the window, and what is left is verified on the bits.  Where ``across`` is
+    set, only pairs of different tiles count.
     """
-    if len(left) * len(right) <= DIRECT:
-        i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= RADIUS)
-        if same:
-            i, j = i[i < j], j[i < j]
-        forest, shift = Forest(len(left) + (0 if same else len(right))), 0 if same else len(left)
-        kept = np.array([forest.union(a, shift + b) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
-        return i[kept], j[kept]
-    everything = left if same else np.concatenate((left, right))
-    step = max(1, len(everything) // PIVOTS)
-    pivots = everything[::step][:PIVOTS]
-    a = np.bitwise_count(left[:, None] ^ pivots[None, :]).astype(np.int16)
-    b = a if same else np.bitwise_count(right[:, None] ^ pivots[None, :]).astype(np.int16)
-    order = np.argsort(b[:, 0], kind="stable")
-    table, fps = b[order], right[order]
-    lows = np.searchsorted(table[:, 0], a[:, 0] - RADIUS, side="left")
-    highs = np.searchsorted(table[:, 0], a[:, 0] + RADIUS, side="right")
-    columns = np.ascontiguousarray(table.T)
-    forest = Forest(len(left) + (0 if same else len(right)))
-    shift = 0 if same else len(left)
+    order = np.lexsort((table[:, 0], group)) if len(fps) else np.zeros(0, np.int64)
+    fps, table, group, tile, across = fps[order], table[order].astype(np.int16), group[order], tile[order], across[order]
+    place = group.astype(np.int64) * 256 + table[:, 0]
+    after = np.searchsorted(place, place + RADIUS, side="right") - 1 - np.arange(len(fps))
+    forest, counts = Forest(len(fps)), np.zeros(3, np.int64)
     out_i, out_j = [], []
-    for i in range(len(left)):
-        at = np.arange(lows[i], highs[i])
-        for p in range(1, len(pivots)):
-            if len(at) < 32:
-                break
-            at = at[np.abs(columns[p][at] - a[i, p]) <= RADIUS]
-        near = order[at[np.bitwise_count(fps[at] ^ left[i]) <= RADIUS]]
-        if same:
-            near = near[near > i]
-        for j in near.tolist():
-            if forest.union(i, shift + j):
-                out_i.append(i)
-                out_j.append(j)
-    return np.array(out_i, np.int64), np.array(out_j, np.int64)
-
-
-def fingerprint_links(fps: DataFrame, parts: int | None = None) -> DataFrame:
-    """Pairs a, b of linked fingerprints whose components are those of all links; ``fps``: one column fp, distinct.
+    ends = np.cumsum(after)
+    lo = 0
+    while lo < len(fps):
+        # As many rows as give about PAIRS pairs.
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        n = after[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        open_ = ~across[i] | (tile[i] != tile[j])
+        i, j = i[open_], j[open_]
+        counts[0] += len(i)
+        for p in range(1, table.shape[1]):
+            near = np.abs(table[i, p] - table[j, p]) <= RADIUS
+            i, j = i[near], j[near]
+        counts[1] += len(i)
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= RADIUS
+        i, j = i[near], j[near]
+        counts[2] += len(i)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if forest.union(a, b):
+                out_i.append(a)
+                out_j.append(b)
+        lo = hi
+    return order[np.array(out_i, np.int64)], order[np.array(out_j, np.int64)], counts
+
+
+def compared(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Links a, b among the cells of one bucket, and the counts of ``links``."""
+    fp = rows["fp"].to_numpy().view(np.uint64)
+    table = np.frombuffer(b"".join(rows["distances"]), np.uint8).reshape(len(rows), PIVOTS)
+    cell = rows.groupby(["part", "value", "lo", "hi"], sort=False).ngroup().to_numpy()
+    i, j, counts = links(fp, table, cell, rows["tile"].to_numpy(), (rows["lo"] != rows["hi"]).to_numpy())
+    return pd.DataFrame({"a": fp[i].view(np.int64), "b": fp[j].view(np.int64)}), counts
+
+
+def fingerprint_cells(fps: DataFrame, parts: int | None = None) -> DataFrame:
+    """fp, distances, tile, part, value, lo, hi and bucket: each fingerprint in the cells (pairs of tiles of a group) where it is compared.
 
     The number of segments follows the number of fingerprints (``segments_for``).  Group sizes are counted first.  Each group is
     dealt into tiles by a hash, and each pair of tiles is one task's work, so a group that holds a third of all fingerprints
@@ -177,57 +205,34 @@ def fingerprint_links(fps: DataFrame, parts: int | None = None) -> DataFrame:
     """
     masks = segment_masks(parts or segments_for(fps.count()))
     keys = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for k, m in enumerate(masks)]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.part", "key.value")
-    sizes = dealt.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).drop("n")
-    # At most the number of rows over TILE groups are large, a few thousandths of the rows.
-    placed = dealt.join(large, ["part", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = fps.select("fp", "distances", F.explode(F.array(*keys)).alias("key")).select("fp", "distances", "key.part", "key.value")
+    sizes = dealt.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).drop("n")
+    # A group of one has no pair; one group may hold a third of all fingerprints.
+    placed = salted_join(dealt, sizes, ["part", "value"], by="fp")
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("lo"), F.greatest(t, F.col("tile")).alias("hi")))
-    cells = placed.select("fp", "part", "value", "tiles", tile).select("fp", "part", "value", "tile", F.explode(pairs).alias("cell"))
+    cells = placed.select("fp", "distances", "part", "value", "tiles", tile).select("fp", "distances", "part", "value", "tile", F.explode(pairs).alias("cell"))
     # Small groups travel together: a task's group is a bucket of many values of one segment.
     buckets = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cells = cells.select("fp", "tile", "part", "value", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), F.pmod(F.xxhash64("part", "value", "cell.lo", "cell.hi"), F.lit(4 * buckets)).alias("bucket"))
+    return cells.select("fp", "distances", "tile", "part", "value", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), F.pmod(F.xxhash64("part", "value", "cell.lo", "cell.hi"), F.lit(4 * buckets)).alias("bucket"))
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        found_a, found_b = [], []
-        fp = rows["fp"].to_numpy().view(np.uint64)
-        tile = rows["tile"].to_numpy()
-        kinds = [rows[c].to_numpy() for c in ("part", "value", "lo", "hi")]
-        order = np.lexsort((fp, tile, *reversed(kinds)))
-        changes = np.any([k[order][1:] != k[order][:-1] for k in kinds], axis=0)
-        heads = np.concatenate(([0], np.flatnonzero(changes) + 1, [len(order)]))
-        for lo, hi in zip(heads[:-1], heads[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            group = order[lo:hi]
-            if kinds[2][group[0]] == kinds[3][group[0]]:
-                i, j = links(fp[group], fp[group], True)
-                found_a.append(fp[group][i])
-                found_b.append(fp[group][j])
-            else:
-                first = tile[group] == kinds[2][group[0]]
-                one, two = fp[group[first]], fp[group[~first]]
-                if len(one) and len(two):
-                    i, j = links(one, two, False)
-                    found_a.append(one[i])
-                    found_b.append(two[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (found_a, found_b))
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return cells.groupBy("bucket").applyInPandas(compare, "a long, b long")
+
+def fingerprint_links(fps: DataFrame, parts: int | None = None) -> DataFrame:
+    """Pairs a, b of linked fingerprints whose components are those of all links; ``fps``: columns fp (distinct) and distances."""
+    return fingerprint_cells(fps, parts).groupBy("bucket").applyInPandas(lambda rows: compared(rows)[0], "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = durable(fingerprints(docs))
     leaders = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("leader")))
-    linked = fingerprint_links(leaders.select("fp"))
-    lead_a, lead_b = (leaders.select(F.col("fp").alias(c), F.col("leader").alias(f"leader_{c}")) for c in "ab")
-    edges = linked.join(lead_a, "a").join(lead_b, "b").select(F.col("leader_a").alias("a"), F.col("leader_b").alias("b"))
-    groups = components(edges).select(F.col("id").alias("leader"), "component")
-    named = leaders.join(groups, "leader", "left").select("fp", F.coalesce("component", "leader").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    tables = durable(with_table(leaders))
+    groups = components(fingerprint_links(tables)).select(F.col("id").alias("fp"), "component")
+    named = leaders.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("leader").alias("component_id"))
+    named = salted_join(named, least, "component", by="fp").select("fp", "component_id")
+    # A third of all rows may share one fingerprint.
+    return salted_join(rows, named, "fp", by="doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +261,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     docs, columns = _numbered(docs), docs.columns
     prints = fingerprints(docs.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("fp").alias("key"))
     rows = durable(docs.select("__row", "doc_id").join(prints, "__row"))
-    return _first_of_each(docs, rows, fingerprint_links(rows.select(F.col("key").alias("fp")).distinct())).select(columns)
+    return _first_of_each(docs, rows, fingerprint_links(with_table(rows.select(F.col("key").alias("fp")).distinct()))).select(columns)
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:

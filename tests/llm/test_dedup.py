@@ -48,11 +48,11 @@ def near_corpus():
     return texts + [None, "", "  ", "Some Words", "some\twords", "UPPER Case ß É"] + [texts[0]] * 5
 
 
-@pytest.mark.parametrize("tile, parts", [(4, 5), (1024, 5), (1024, 6), (8, 7)])
+@pytest.mark.parametrize("tile, parts", [(None, None), (4, 5), (1024, 6), (8, 7)])
 def test_simhash_against_brute_force(spark, monkeypatch, tile, parts):
-    monkeypatch.setattr(simhash, "TILE", tile)
-    monkeypatch.setattr(simhash, "DIRECT", 100)
-    monkeypatch.setattr(simhash, "segments_for", lambda n: parts)
+    if tile:
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "segments_for", lambda n: parts)
     texts = near_corpus()
     docs = spark.createDataFrame([(i * 3 + 1, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, fp string, a int").repartition(3)
     found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
@@ -72,6 +72,8 @@ def test_links_of_random_and_close_prints():
     base = r.integers(0, 1 << 63, 40).astype(np.uint64)
     near = np.array([b ^ np.uint64(sum(1 << int(x) for x in r.choice(64, r.integers(1, 6), replace=False))) for b in np.repeat(base, 6)], dtype=np.uint64)
     fps = np.unique(np.concatenate((base, near)))
+    group, tile = np.arange(len(fps)) % 2, np.arange(len(fps)) % 3
+    table = simhash.pivot_table(fps)
 
     def groups(pairs):
         forest = simhash.Forest(len(fps))
@@ -79,18 +81,32 @@ def test_links_of_random_and_close_prints():
             forest.union(int(i), int(j))
         return [forest.find(i) for i in range(len(fps))]
 
-    want = groups(np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1)))
-    assert groups(zip(*simhash.links(fps, fps, True), strict=True)) == want
-    half = len(fps) // 2
-    i, j = simhash.links(fps[:half], fps[half:], False)
-    a, b = simhash.links(fps[:half], fps[:half], True), simhash.links(fps[half:], fps[half:], True)
-    assert groups([*zip(i, j + half, strict=True), *zip(*a, strict=True), *zip(a[0] * 0 + b[0][:1] + half, b[1][:1] + half, strict=False), *zip(b[0] + half, b[1] + half, strict=True)]) == want
+    linked = np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1) & (group[:, None] == group[None, :])
+    for across in (np.zeros(len(fps), bool), np.ones(len(fps), bool)):
+        want = linked & (~across[:, None] | (tile[:, None] != tile[None, :]))
+        i, j, (seen, passed, found) = simhash.links(fps, table, group, tile, across)
+        assert groups(zip(i, j, strict=True)) == groups(np.argwhere(want)) and found == want.sum()
+        # The table discards most pairs before any is verified.
+        assert found <= passed < 0.2 * seen
+    assert simhash.links(fps[:0], table[:0], group[:0], tile[:0], across[:0])[2].tolist() == [0, 0, 0]
+
+
+def test_every_pair_goes_through_the_pivot_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tables = simhash.with_table(simhash.fingerprints(docs).select("fp").distinct())
+    counts = np.zeros(3, np.int64)
+    for _, rows in simhash.fingerprint_cells(tables).toPandas().groupby("bucket"):
+        counts += simhash.compared(rows)[1]
+    seen, passed, found = counts.tolist()
+    assert seen > 100 and found <= passed < seen
 
 
 def test_simhash_on_odd_tables(spark):
     docs = odd_documents(spark)
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
+    texts = spark.createDataFrame([(5, prose("a", 40)), (5, prose("b", 40)), (4, prose("a", 40)), (None, prose("c", 40))], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(texts).collect()) == [(-1, -1), (4, 4), (5, 4), (5, 5)]
     zero = [r for r in rows if r.fingerprint == "0" * 16]
     assert {r.component_id for r in zero} == {0} and {r.doc_id for r in zero} >= {0, 1, 2, 3}
     assert simhash.near_duplicates(empty(docs)).count() == 0 and simhash.keep_one(empty(docs)).count() == 0
