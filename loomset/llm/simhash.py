@@ -122,9 +122,9 @@ def with_table(fps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pivot_table(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([r.tobytes() for r in rows], pa.binary())], ["fp", "distances"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in rows], pa.binary())], [*batch.schema.names, "distances"])
 
-    return fps.select("fp").mapInArrow(run, "fp long, distances binary")
+    return fps.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fps.schema) + ", distances binary")
 
 
 class Forest:
@@ -225,10 +225,9 @@ def fingerprint_links(fps: DataFrame, parts: int | None = None) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = durable(fingerprints(docs))
-    leaders = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("leader")))
-    tables = durable(with_table(leaders))
-    groups = components(fingerprint_links(tables)).select(F.col("id").alias("fp"), "component")
-    named = leaders.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    leaders = durable(with_table(rows.groupBy("fp").agg(F.min("doc_id").alias("leader"))))
+    groups = components(fingerprint_links(leaders)).select(F.col("id").alias("fp"), "component")
+    named = leaders.drop("distances").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("leader").alias("component_id"))
     named = salted_join(named, least, "component", by="fp").select("fp", "component_id")
     # A third of all rows may share one fingerprint.
