@@ -38,9 +38,9 @@ ODD = [(1000, None), (1020, []), (1040, [float("nan")] * 24), (1060, [float("inf
 COPIES = [(2000 + i, [0.25] * 24) for i in range(60)]
 
 
-@pytest.mark.parametrize("block", [64, 4096])
-def test_topk_is_exact(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "CANDIDATE_BLOCK", block)
+@pytest.mark.parametrize("cell", [64, 2048])
+def test_topk_is_exact(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "LEAST_CELL", cell)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 16)
     values = random_rows(400) + COPIES + [(1100, [0.0] * 24)]
     rows = vectors.usable(rows_of(spark, values + ODD[:-1]), zero=True)
@@ -59,9 +59,9 @@ def test_topk_of_few_and_of_huge(spark):
     assert topk.top_k(none, none).count() == 0 and topk.top_k(rows, none).count() == 0
 
 
-@pytest.mark.parametrize("block", [128, 4096])
-def test_ann_finds_nearly_all(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "CANDIDATE_BLOCK", block)
+@pytest.mark.parametrize("cell", [64, 2048])
+def test_ann_finds_nearly_all(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "LEAST_CELL", cell)
     values = random_rows(1500) + COPIES
     rows = vectors.usable(rows_of(spark, values + ODD), zero=False)
     assert rows.count() == len(values)
@@ -83,9 +83,41 @@ def test_ann_of_few(spark):
     assert ann.nearest(none, none).count() == 0
 
 
-def test_chi_square_and_tree():
+@pytest.mark.parametrize("find", [ann.nearest, topk.top_k])
+def test_query_rows_of_one_id_have_lists_of_their_own(spark, find):
+    rows = vectors.usable(rows_of(spark, [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [0.5, 0.4]), (None, [5.0, 5.0])]), zero=True)
+    found = sorted((r.query_id, r["rank"], r.vec_id) for r in find(rows, rows.where("vec_id = 20"), 2).collect())
+    assert found == sorted([(20, 1, 1), (20, 2, 3), (20, 1, 2), (20, 2, 3)])
+
+
+def test_cells_are_skipped_by_norm(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAST_CELL", 32)
+    r = np.random.default_rng(5)
+    long, short = r.normal(size=(40, 8)), r.normal(size=(400, 8)) * 0.01
+    rows = vectors.usable(rows_of(spark, [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate((long, short)))]), zero=True)
+    _, bands = topk.norm_cells(rows)
+    assert len(bands) > 4 and bands[0][2] > 20 * bands[-1][2] and [b[0] for b in bands] == [0, *np.cumsum([b[1] for b in bands])[:-1]]
+
+
+def test_leaves_are_walked_until_the_test_holds(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAST_CELL", 64)
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(30, 24)) * 3
+    values = [(i, (centres[i % 30] + r.normal(size=24) * 0.1).astype(np.float32).tolist()) for i in range(3000)]
+    rows = vectors.usable(rows_of(spark, values), zero=False)
+    best, lists = ann.search(rows, rows.where("vec_id % 20 = 0"), 10)
+    assert best.count() == 1500 and len(lists) > 1
+    # Of clustered vectors a query verifies a small part, as later leaves fail the test.
+    assert sum(found.agg(F.sum("verified")).first()[0] for found in lists) < 0.3 * 150 * 3000
+
+
+def test_tree_and_chi_square():
     assert abs(ann.chi_square_cdf(13.3616, 8) - 0.9) < 1e-4 and abs(ann.chi_square_quantile(0.9, 8) - 13.3616) < 1e-3
-    points = np.random.default_rng(1).normal(size=(500, 4))
-    leaves = ann.kd_leaves(points, 16)
-    assert sorted(np.concatenate(leaves).tolist()) == list(range(500)) and max(map(len, leaves)) <= 16
-    assert len(ann.kd_leaves(np.zeros((100, 3)), 16)) >= 7
+    points = np.random.default_rng(1).normal(size=(512, 4))
+    tree = ann.Tree(points, 16)
+    leaf = tree.leaf(points)
+    assert np.bincount(leaf, minlength=16).tolist() == [32] * 16
+    boxes = [np.stack([f(points[leaf == b], axis=0) for b in range(16)]) for f in (np.min, np.max)]
+    gaps = ann.box_gaps(points, *boxes)
+    assert (gaps[np.arange(512), leaf] == 0).all() and all(gaps[i, leaf[j]] <= ((points[i] - points[j]) ** 2).sum() + 1e-12 for i in range(0, 512, 37) for j in range(512))
+    assert set(ann.Tree(np.zeros((0, 4)), 1).leaf(np.zeros((3, 4)))) == {0} and set(ann.Tree(np.zeros((40, 4)), 4).leaf(np.zeros((5, 4)))) == {3}
