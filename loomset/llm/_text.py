@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass handles; a longer single text is handled alone.
+#: Bytes of text that one numpy pass handles; longer texts are cut into pieces.
 CHUNK_BYTES = 2 << 20
+#: Bytes of a piece of a long text, at most.
+PIECE_BYTES = 1 << 20
 
 #: A-Z to a-z, every other byte unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -30,6 +32,27 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return column.fill_null("").cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
+def pieces(texts: list[bytes], limit: int | None = None) -> tuple[list[bytes], np.ndarray]:
+    """Texts of at most ``limit`` bytes (``PIECE_BYTES``) as they are, longer ones in pieces of whole words, and the text of each piece.
+
+    Where a text is cut depends on that text alone.  A word longer than a piece is cut inside.
+    """
+    limit = limit or PIECE_BYTES
+    out, owner = [], []
+    for i, text in enumerate(texts):
+        lo = 0
+        while len(text) - lo > limit:
+            hi = lo + limit
+            gaps = np.flatnonzero(~IS_WORD[np.frombuffer(text, np.uint8, limit, lo)])
+            hi = lo + int(gaps[-1]) + 1 if len(gaps) else hi
+            out.append(text[lo:hi])
+            owner.append(i)
+            lo = hi
+        out.append(text[lo:] if lo else text)
+        owner.append(i)
+    return out, np.array(owner, dtype=np.int64)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [lo, hi) of about ``limit`` bytes each."""
     lo, size = 0, 0

@@ -16,20 +16,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import FOLD, as_bytes, chunks, hashed_ngrams, joined, word_spans
+from ._text import FOLD, as_bytes, chunks, hashed_ngrams, joined, pieces, word_spans
 
 SEGMENT_WORDS = 8
 NGRAMS = (2, 3, 4)
 BITS = 14
 EM_STEPS = 8
 
-#: Expected number of labelled rows that the fit uses; all of them, if fewer.
-FIT_ROWS = 20000
+#: Labelled rows of each language that the fit uses, the first by a hash of doc_id; all of them, if fewer.  A rare language keeps all of its rows.
+FIT_ROWS = 5000
 #: A segment's log-likelihood is scaled by this, since overlapping n-grams repeat each other's evidence.
 TEMPER = 0.3
+#: Name of the part of a text that no learned language explains; sorts after all others.
+UNKNOWN = "\U0010ffff"
 #: Added to every n-gram count.
 SMOOTHING = 0.5
 
@@ -45,8 +47,9 @@ class LanguageModel:
 def ngram_counts(texts: list[bytes]) -> np.ndarray:
     """Counts of the hashed n-grams, a row of buckets for each size."""
     out = np.zeros((len(NGRAMS), 1 << BITS), dtype=np.int64)
-    for lo, hi in chunks(texts):
-        raw, _ = joined(texts[lo:hi])
+    cut, _ = pieces(texts)
+    for lo, hi in chunks(cut):
+        raw, _ = joined(cut[lo:hi])
         for k, (bucket, inside) in enumerate(hashed_ngrams(_letters(raw), NGRAMS, BITS)):
             out[k] += np.bincount(bucket[inside], minlength=1 << BITS)
     return out
@@ -76,6 +79,13 @@ def segments(texts: list[bytes], model: LanguageModel) -> tuple[np.ndarray, np.n
     return np.add.reduceat(total, at, axis=0).astype(np.float64) * TEMPER, text
 
 
+def text_segments(texts: list[bytes], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts of any length, a piece of about 1 MB at a time."""
+    cut, owner = pieces(texts)
+    found = [(ll, owner[piece + lo]) for lo, hi in chunks(cut) for ll, piece in [segments(cut[lo:hi], model)]]
+    return np.concatenate([np.zeros((0, len(model.languages))), *(ll for ll, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(text for _, text in found)])
+
+
 def _em(like: np.ndarray, text: np.ndarray, heads: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares and log-likelihood of every text, with the languages that ``allowed`` marks for it; like: relative to each segment's best."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
@@ -94,7 +104,7 @@ def mixtures(texts: list[bytes], model: LanguageModel) -> tuple[np.ndarray, np.n
     if not n_lang:
         return shares, chosen
     for lo, hi in chunks(texts):
-        ll, text = segments(texts[lo:hi], model)
+        ll, text = text_segments(texts[lo:hi], model)
         if not len(text):
             continue
         present, heads, owner = np.unique(text, return_index=True, return_inverse=True)
@@ -103,17 +113,13 @@ def mixtures(texts: list[bytes], model: LanguageModel) -> tuple[np.ndarray, np.n
         full, _ = _em(like, owner, heads, np.ones((len(present), n_lang)))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
         size = np.diff(np.append(heads, len(text)))
-        best, best_value = None, None
+        best, best_value, number = np.zeros((len(present), n_lang)), np.full(len(present), -np.inf), np.zeros(len(present), dtype=np.int64)
+        # Every size is tried for every text, so a result does not depend on the texts beside it.
         for k in range(1, n_lang + 1):
             share, value = _em(like, owner, heads, (rank < k).astype(float))
             value = value - 0.5 * (k - 1) * np.log(size + 1)
-            if best is None:
-                best, best_value, number = share, value, np.ones(len(present), dtype=np.int64)
-            else:
-                better = value > best_value + 1e-9
-                best[better], best_value[better], number[better] = share[better], value[better], k
-                if not better.any():
-                    break
+            better = value > best_value + 1e-9
+            best[better], best_value[better], number[better] = share[better], value[better], k
         shares[lo + present], chosen[lo + present] = best, number
     return shares, chosen
 
@@ -129,13 +135,16 @@ def train(counts: dict[str, np.ndarray]) -> LanguageModel:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Learn from about ``fit_rows`` rows outside the held-out fold, chosen by a hash of doc_id.
+    """Learn from ``fit_rows`` rows of each language outside the held-out fold, the first by a hash of doc_id.
 
-    Tasks count, Spark sums; languages times buckets rows reach the driver, whatever the number of documents.
+    Tasks count, Spark sums; languages times buckets rows reach the driver, whatever the number of documents.  ``fit_rows`` ids
+    for each language are broadcast.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    share = min(1.0, fit_rows / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).select("doc_id", "lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
+    chosen = known.withColumn("place", place).where(F.col("place") <= fit_rows).select("doc_id", "lang")
+    chosen = docs.where("text IS NOT NULL").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -194,14 +203,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs)).select("doc_id", held, "lang_pred", "score", "n_languages")
 
 
-def keep_identified(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """Rows whose text has a language with at least ``least_share`` of it, all columns unchanged; ``und`` goes."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+def with_unknown(model: LanguageModel) -> LanguageModel:
+    """One more language, the last, to which all n-grams are equally likely; it takes the segments that no learned language explains."""
+    even = np.full((len(NGRAMS), (1 << BITS) + 1, 1), -BITS * np.log(2), dtype=np.float32)
+    even[:, -1] = 0
+    return LanguageModel([*model.languages, UNKNOWN], np.concatenate((model.logp, even), axis=2))
+
+
+def keep_identified(docs: DataFrame, least_share: float = 0.5, accepted: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of which an accepted language (any learned one, if None) has the largest share and ``least_share`` at least, all columns unchanged.
+
+    Texts without a letter go, and those of which no learned language explains enough (``with_unknown``).
+    """
+    model = docs.sparkSession.sparkContext.broadcast(with_unknown(fit(docs)))
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             name, share, _ = predict(model.value, as_bytes(batch.column(where)))
-            yield batch.filter(pa.array([n != "und" for n in name]) if not len(share) else pa.array((share >= least_share) & (np.array(name, dtype=object) != "und")))
+            known = np.array([n not in ("und", UNKNOWN) and (accepted is None or n in accepted) for n in name], dtype=bool)
+            yield batch.filter(pa.array(known & (share >= least_share)))
 
     return docs.where(_has_letter()).mapInArrow(run, docs.schema)

@@ -1,16 +1,19 @@
 """Toxicity from subword bags.
 
-A text is cut into bags of ``BAG_WORDS`` consecutive words (runs of one word count once).  Every word stands for its character n-grams (bytes, word
+A text is cut into bags of ``BAG_WORDS`` consecutive words; a run of one and the same word fills one place of a bag.  Every word stands for its character n-grams (bytes, word
 borders included), hashed to rows of an embedding table; a bag is the mean of its n-gram vectors and a linear softmax
 turns that mean into clean or toxic.  Table and softmax are trained jointly in numpy, so a misspelled word that was never
 seen still shares most n-gram vectors with its correct form.  A text is as toxic as its worst bag.
 
+Very long texts are read in pieces of whole words, each with bags of its own; all of it is scored.
+
 Defined results: a null or empty text, or one without words, scores 0.0 (clean).  Without a labelled row of each class
 every text scores 0.0.  Equal texts score equally; rows are never merged.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import FOLD, as_bytes, chunks, hashed_ngrams, joined, word_spans
+from ._text import FOLD, as_bytes, chunks, hashed_ngrams, joined, pieces, word_spans
 
 BAG_WORDS = 5
 NGRAMS = (3, 4, 5, 6)
 BITS = 17
 DIM = 8
 
-#: Expected number of labelled rows that the fit uses; all of them, if fewer.
+#: Labelled rows that the fit uses, the first by a hash of doc_id; all of them, if fewer.
 FIT_ROWS = 8000
-#: Labelled texts longer than this are left out of the fit, so that its sample stays small (all texts are scored, whole).
-FIT_TEXT_BYTES = 65536
+#: Bytes that one labelled text gives to the fit, about: of longer texts, bags drawn from all over the text.
+FIT_TEXT_BYTES = 32768
 #: Bags of clean texts for each bag of a toxic text in the fit, about.
 CLEAN_PER_TOXIC = 3
 
@@ -44,20 +47,22 @@ class ToxicityModel:
     shift: float
 
 
-_LETTER = np.random.default_rng(3).integers(1, 1 << 62, 256)
-
-
 def _folded(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Lower-case words; a word that repeats the one before it is left out, so that no bag is one word alone."""
+    """Lower-case words; of a run of the same word only the first stays, so that no bag is one word alone."""
     folded = FOLD[raw]
     first, end = word_spans(folded)
     if len(first) < 2:
         return folded
     text = np.searchsorted(starts, first, side="right")
-    # Sums of letter codes: words of the same letters count as equal.
-    key = np.add.reduceat(_LETTER[folded], np.stack((first, end), axis=1).ravel())[::2]
-    again = np.flatnonzero((key[1:] == key[:-1]) & (text[1:] == text[:-1])) + 1
-    if len(again):
+    size = end - first
+    # Only words of equal length, first and last byte are compared, and these byte by byte.
+    maybe = np.flatnonzero((size[1:] == size[:-1]) & (text[1:] == text[:-1]) & (folded[first[1:]] == folded[first[:-1]]) & (folded[end[1:] - 1] == folded[end[:-1] - 1])) + 1
+    if len(maybe):
+        n = size[maybe]
+        heads = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(heads, n)
+        differs = folded[np.repeat(first[maybe], n) + within] != folded[np.repeat(first[maybe - 1], n) + within]
+        again = maybe[np.add.reduceat(differs.astype(np.int64), heads) == 0]
         change = np.zeros(len(folded) + 1, dtype=np.int8)
         change[first[again]] += 1
         change[end[again]] -= 1
@@ -92,12 +97,28 @@ def bag_logits(texts: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.n
 def worst_bag(texts: list[bytes], weight: np.ndarray) -> np.ndarray:
     """Largest bag logit of each text; -inf without words."""
     out = np.full(len(texts), -np.inf)
-    for lo, hi in chunks(texts):
-        logits, text = bag_logits(texts[lo:hi], weight)
-        np.maximum.at(out, text + lo, logits)
+    cut, owner = pieces(texts)
+    for lo, hi in chunks(cut):
+        logits, piece = bag_logits(cut[lo:hi], weight)
+        np.maximum.at(out, owner[piece + lo], logits)
     return out
 
 
+def sampled_text(text: bytes, limit: int = FIT_TEXT_BYTES) -> bytes:
+    """The text, or of a longer one bags drawn from all of it with equal chance, about ``limit`` bytes."""
+    if len(text) <= limit:
+        return text
+    rng, out = np.random.default_rng(zlib.crc32(text)), []
+    for piece in pieces([text])[0]:
+        raw, _ = joined([piece])
+        first, end = word_spans(FOLD[raw])
+        opens = np.arange(0, len(first), BAG_WORDS)
+        closes = np.minimum(opens + BAG_WORDS, len(first)) - 1
+        chosen = np.flatnonzero(rng.random(len(opens)) < limit / len(text))
+        out += [raw[first[opens[b]] : end[closes[b]]].tobytes() for b in chosen]
+    return b" ".join(out)
+
+
 def _bags(texts: list[bytes], share: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of bags one after the other, each bag's end among them, and each bag's text; a text gives about its share of its bags."""
     buckets, ends, owners, done = [], [], [], 0
@@ -121,7 +142,7 @@ def _bags(texts: list[bytes], share: np.ndarray, rng: np.random.Generator) -> tu
     return np.concatenate(buckets), np.concatenate(ends), np.concatenate(owners)
 
 
-def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 2, batch: int = 256, rate: float = 0.3) -> ToxicityModel | None:
+def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int = 1, batch: int = 256, rate: float = 0.3) -> ToxicityModel | None:
     """Fit on labelled texts.
 
     The first round takes every bag of a toxic text as toxic.  Later rounds keep of these only what the model so far calls
@@ -131,8 +152,8 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int =
     if not toxic.any() or toxic.all():
         return None
     rng = np.random.default_rng(17)
-    size = np.array([len(t) for t in texts], dtype=np.float64)
-    bucket, end, owner = _bags(texts, np.where(toxic, 1.0, CLEAN_PER_TOXIC * size[toxic].sum() / max(1.0, size[~toxic].sum())), rng)
+    length = np.array([len(t) for t in texts], dtype=np.float64)
+    bucket, end, owner = _bags(texts, np.where(toxic, 1.0, CLEAN_PER_TOXIC * length[toxic].sum() / max(1.0, length[~toxic].sum())), rng)
     begin = np.concatenate(([0], end[:-1]))
     label = toxic[owner].astype(np.int64)
     bad, good = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
@@ -142,39 +163,42 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int =
     table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
     speed_table, speed_soft, speed_bias = np.full(table.shape, 1e-6, np.float32), np.full(soft.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    want = label.copy()
+    want, size = label.copy(), end - begin
+    seen, place = np.zeros(1 << BITS, dtype=bool), np.zeros(1 << BITS, dtype=np.int64)
     for step in range(rounds):
         if step:
-            weight = table @ (soft[:, 1] - soft[:, 0])
-            logit = np.array([weight[bucket[begin[i] : end[i]]].mean() if end[i] > begin[i] else -9.0 for i in bad]) + bias[1] - bias[0]
+            weight = np.append(table @ (soft[:, 1] - soft[:, 0]), np.float32(0))
+            sums = np.add.reduceat(weight.take(np.append(bucket, 1 << BITS)), begin)
+            logit = np.where(size > 0, sums / np.maximum(size, 1), -9.0)[bad] + bias[1] - bias[0]
             want[bad] = logit > 0
             order = np.lexsort((logit, owner[bad]))
             last = np.append(owner[bad][order][1:] != owner[bad][order][:-1], True)
             want[bad[order[last]]] = 1
         for _ in range(epochs):
-            order = rng.permutation(used)
+            order = rng.permutation(used[size[used] > 0])
             for lo in range(0, len(order), batch):
                 rows = order[lo : lo + batch]
-                size = end[rows] - begin[rows]
-                rows, size = rows[size > 0], size[size > 0]
-                if not len(rows):
-                    continue
-                at = np.repeat(begin[rows] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                ids = bucket[at]
-                heads = np.concatenate(([0], np.cumsum(size)[:-1]))
-                mean = np.add.reduceat(table[ids], heads, axis=0) / size[:, None]
+                n = size[rows]
+                heads = np.cumsum(n) - n
+                ids = bucket.take(np.repeat(begin[rows] - heads, n) + np.arange(n.sum()))
+                mean = np.add.reduceat(table.take(ids, axis=0), heads, axis=0) / n[:, None]
                 score = mean @ soft + bias
                 score = np.exp(score - score.max(axis=1, keepdims=True))
                 score /= score.sum(axis=1, keepdims=True)
                 score[np.arange(len(rows)), want[rows]] -= 1
                 score /= len(rows)
-                to_table = (score @ soft.T / size[:, None]).astype(np.float32)
+                to_table = score @ soft.T / n[:, None]
                 to_soft, to_bias = mean.T @ score, score.sum(axis=0)
-                spread = np.repeat(np.arange(len(rows)), size)
-                touched, inverse = np.unique(ids, return_inverse=True)
-                grad = np.stack([np.bincount(inverse, weights=to_table[spread, d], minlength=len(touched)) for d in range(DIM)], axis=1).astype(np.float32)
-                speed_table[touched] += grad**2
-                table[touched] -= rate * grad / np.sqrt(speed_table[touched])
+                # The different n-grams of the batch, in order, and which of them each n-gram is.
+                seen[ids] = True
+                touched = np.flatnonzero(seen)
+                seen[touched] = False
+                place[touched] = np.arange(len(touched))
+                which = place.take(ids)
+                grad = np.stack([np.bincount(which, weights=np.repeat(to_table[:, d], n), minlength=len(touched)) for d in range(DIM)], axis=1).astype(np.float32)
+                speed = speed_table.take(touched, axis=0) + grad**2
+                speed_table[touched] = speed
+                table[touched] -= rate * grad / np.sqrt(speed)
                 speed_soft += to_soft**2
                 soft -= (rate * to_soft / np.sqrt(speed_soft)).astype(np.float32)
                 speed_bias += to_bias**2
@@ -214,24 +238,24 @@ def probabilities(model: ToxicityModel | None, texts: list[bytes]) -> np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel | None:
     """Fit on labelled rows outside the held-out fold.
 
-    About ``fit_rows`` of them, chosen by a hash of doc_id; the chosen ids are at most a few thousand rows, which is what
-    bounds the broadcast and what reaches the driver.  Labels of one document that disagree are left out.
+    The first ``fit_rows`` of them by a hash of doc_id, which is what bounds the broadcast and, with ``FIT_TEXT_BYTES`` for each, what
+    reaches the driver.  Labels of one document that disagree are left out.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
         .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("__most"))
         .where(F.col("toxic") == F.col("__most")).select("doc_id", "toxic")
     )
-    total = known.count()
-    share = min(1.0, fit_rows / max(total, 1))
-    pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(share * 1_000_000)
-    chosen = known.where(pick)
-    rows = (
-        docs.where(pick & (F.octet_length("text") <= FIT_TEXT_BYTES)).select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
-    )
-    rows = sorted(set(map(tuple, rows)))
-    return train([r[2].encode() for r in rows], np.array([r[1] == 1 for r in rows], dtype=bool))
+    chosen = known.select("doc_id", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("place")).orderBy("place", "doc_id").limit(fit_rows).drop("place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [sampled_text(t) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(texts, pa.binary())], ["doc_id", "toxic", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    found = sorted({(r.doc_id, r.toxic, bytes(r.text)) for r in rows.mapInArrow(run, "doc_id long, toxic int, text binary").collect()})
+    return train([r[2] for r in found], np.array([r[1] == 1 for r in found], dtype=bool))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
