@@ -13,14 +13,15 @@ from pyspark.sql import types as T
 from ..errors import ConstraintViolationError
 from ..model import Database, JoinPredicate, Reference, Relation
 from .base import Operator, database_of
-from .joins import _matching, reference_blockers, reference_violations
+from .joins import _matching, reference_violations
 from .shapes import last_by_key
 
 
 class add_reference(Operator):
     """A reference from columns of ``source`` (by default the one named like it) to the key of ``target``.
 
-    Existing rows are only checked with ``validate=True``.
+    Paths follow a reference to one tuple, so a key of the target that comes twice is refused.  Existing rows of the source are
+    only checked with ``validate=True``.
     """
 
     params = ("origin", "ref_key", "target", "columns")
@@ -40,6 +41,9 @@ class add_reference(Operator):
         missing = [c for c in self.columns if c not in database.relations[self.origin].df.columns]
         if missing:
             raise ValueError(f"{self.origin!r} has no columns {missing}")
+        target = database.relations[self.target]
+        if not target.key or target.df.groupBy(*target.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            raise ConstraintViolationError(f"{self.target!r} has no unique key")
         added = Reference(self.origin, self.ref_key, self.columns, self.target, database.relations[self.target].key)
         if self.validate and reference_violations(database, added).limit(1).count():
             raise ConstraintViolationError(f"some {self.origin}.{self.ref_key} lead to no tuple of {self.target}")
@@ -184,15 +188,27 @@ def _with_rows(database: Database, name: str, df: DataFrame) -> Database:
     return database.with_relations({**database.relations, name: old.with_df(df, links=old.links)})
 
 
-def _new_references_hold(database: Database, name: str, rows: DataFrame) -> None:
-    new = _with_rows(database, name, rows)
+def _new_references_hold(database: Database, name: str, rows: DataFrame, after: DataFrame) -> None:
+    """The references of new rows lead to tuples that are there; a self reference may lead to any row of ``after``, the new version."""
     for reference in database.references:
         if reference.source == name and reference.target in database.relations:
-            target = replace(new, relations={**database.relations, name: new.relations[name]}) if reference.target != name else _with_rows(database, name, rows)
-            if reference_violations(target, reference).limit(1).count():
+            source = rows
+            for c in reference.columns:
+                source = source.where(F.col(f"`{c}`").isNotNull())
+            target = after if reference.target == name else database.relations[reference.target].df
+            if _matching(source, target, reference.columns, reference.key, "left_anti").limit(1).count():
                 raise ConstraintViolationError(f"{name}.{reference.ref_key} leads to no tuple of {reference.target}")
 
 
+def _unreferenced(database: Database, name: str, gone: DataFrame, sources: Mapping[str, DataFrame] | None = None) -> None:
+    """No row refers to the tuples in ``gone``; ``sources``: relations in a newer version."""
+    for reference in database.references:
+        if reference.target == name and reference.source in database.relations:
+            source = (sources or {}).get(reference.source, database.relations[reference.source].df)
+            if _matching(source, gone, reference.columns, reference.key).limit(1).count():
+                raise ConstraintViolationError(f"{reference.source}.{reference.ref_key} refers to what goes from {name}")
+
+
 def insert(database: Database, name: str, rows: DataFrame) -> Database:
     """A version with new rows, or with rows put in place of those of the same key.
 
@@ -202,9 +218,9 @@ def insert(database: Database, name: str, rows: DataFrame) -> Database:
     for constraint in old.constraints:
         if isinstance(constraint, (Schema, SameAttributes)) and (said := constraint.violations(rows, old)):
             raise ConstraintViolationError(f"{name}: {said}")
-    _new_references_hold(database, name, rows)
     frames = old.df.withColumn("__from", F.lit(0)).unionByName(rows.withColumn("__from", F.lit(1)), allowMissingColumns=True)
     new = _with_rows(database, name, last_by_key(frames, old.key, F.col("__from")).drop("__from").select(*old.df.columns, *[c for c in rows.columns if c not in old.df.columns]))
+    _new_references_hold(database, name, rows, new.relations[name].df)
     updates = _matching(rows, old.df, old.key, old.key).limit(1).count() if database.observers else 0
     return _checked(new, database, name, rows, "UPDATE" if updates else "INSERT")
 
@@ -212,9 +228,7 @@ def insert(database: Database, name: str, rows: DataFrame) -> Database:
 def delete(database: Database, name: str, keys: DataFrame) -> Database:
     """A version without the rows of these keys; refused while rows of other relations refer to them."""
     old = database.relations[name]
-    for reference in database.references:
-        if reference.target == name and reference.source in database.relations and reference_blockers(database, reference, keys).limit(1).count():
-            raise ConstraintViolationError(f"{reference.source}.{reference.ref_key} refers to what is deleted from {name}")
+    _unreferenced(database, name, keys)
     new = _with_rows(database, name, _matching(old.df, keys, old.key, old.key, "left_anti"))
     return _checked(new, database, name, None, "DELETE")
 
@@ -229,5 +243,11 @@ def update(database: Database, name: str, assignments: Mapping[str, Any], predic
     made = {c: (v(Proxy(paths)) if callable(v) else F.lit(v)) for c, v in assignments.items()}
     df = paths.df.select(*[(F.when(holds, made[c]).otherwise(F.col(f"`{c}`")) if c in made else F.col(f"`{c}`")).alias(c) for c in relation.df.columns])
     changed = paths.df.where(holds).select(*[(made[c] if c in made else F.col(f"`{c}`")).alias(c) for c in relation.df.columns])
-    _new_references_hold(database, name, changed)
+    _new_references_hold(database, name, changed, df)
+    if moved := [c for c in relation.key if c in made]:
+        # Rows that refer to a key that goes would lead nowhere.
+        gone = _matching(relation.df.select(*relation.key), df.select(*relation.key), relation.key, relation.key, "left_anti")
+        _unreferenced(database, name, gone, {name: df})
+        if df.groupBy(*relation.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            raise ConstraintViolationError(f"{name}: two tuples would have one value of {moved}")
     return _checked(_with_rows(database, name, df), database, name, changed, "UPDATE")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
 from typing import Any
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import Paths, condition
 from ..functions.predicates import LOOKUPS, Predicate, parse_lookup
@@ -13,10 +15,10 @@ from .base import Operator, relation_of
 
 
 class filter_items(Operator):
-    """Items whose predicate holds; the predicate sees ``item.key`` and ``item.value``."""
+    """Items whose predicate holds; the predicate sees ``item.key`` and ``item.value``, of a database a relation's name and the relation."""
 
     params = ("filter_predicate",)
-    on = "item"
+    on, complement = "item", False
 
     def __init__(self, source: Any, filter_predicate: Any, *, as_udf: bool = False, create_lineage: bool = False):
         super().__init__(source)
@@ -25,13 +27,13 @@ class filter_items(Operator):
         self.filter_predicate, self.as_udf = filter_predicate, as_udf
 
     def compute(self) -> Any:
+        if isinstance(self.input, Database):
+            parts = {"item": lambda key, value: SimpleNamespace(key=key, value=value), "value": lambda key, value: value, "key": lambda key, value: key}[self.on]
+            return self.input.subset(*[n for n in self.input.relations if self.complement != bool(self.filter_predicate(parts(n, self.input[n])))])
         relation = relation_of(self.input)
         paths = Paths(relation)
         holds = condition(relation, paths, self.filter_predicate, self.on, self.as_udf)
-        return keep(relation, paths, self.select(holds))
-
-    def select(self, holds: Any) -> Any:
-        return holds
+        return keep(relation, paths, ~F.coalesce(holds, F.lit(False)) if self.complement else holds)
 
 
 class filter_values(filter_items):
@@ -45,22 +47,16 @@ class filter_keys(filter_items):
 
     on = "key"
 
-    def compute(self) -> Any:
-        if isinstance(self.input, Database):
-            return self.input.where(self.filter_predicate)
-        return super().compute()
-
 
 class filter_items_scan_complement(filter_items):
     """Items whose predicate does not hold, NULL results included."""
 
+    complement = True
+
     def __init__(self, source: Any, filter_predicate: Any, **options: Any):
         super().__init__(source, filter_predicate, **options)
         self.on = "value" if isinstance(filter_predicate, Predicate) else "item"
 
-    def select(self, holds: Any) -> Any:
-        return ~F.coalesce(holds, F.lit(False))
-
 
 def keep(relation: Relation, paths: Paths, holds: Any) -> Relation:
     """The relation's own columns where the condition holds, after whatever joins its paths needed."""
@@ -85,5 +81,8 @@ def where(relation: Relation, predicate: Any = None, **lookups: Any) -> Relation
         except AttributeError:
             # The whole keyword may be an attribute that ends like a lookup.
             column, name = paths.column(keyword), "exact"
-        holds &= LOOKUPS[name](column, value)
+        if name == "contains" and isinstance(paths.df.select(column).schema[0].dataType, T.ArrayType):
+            holds &= F.array_contains(column, value)
+        else:
+            holds &= LOOKUPS[name](column, value)
     return keep(relation, paths, holds)

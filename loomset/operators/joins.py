@@ -224,7 +224,8 @@ class cogroup(Operator):
     """Groups of several relations side by side, without padding.
 
     Without ``grouping_keys``: for each key one struct for each relation, NULL where the relation has no such key.  With
-    them (relation name to attribute or attributes): for each value a map from item key to item for each relation.  ``aggregates`` (relation
+    them (relation name to attribute or attributes): for each value a map from item key to item for each relation, or a list of items where
+    a relation has no key.  ``aggregates`` (relation
     name to {name: aggregate}) replaces the maps by their aggregates, which no group's size can overflow.
     """
 
@@ -262,6 +263,8 @@ class cogroup(Operator):
                 side = paths.df.groupBy(*keys).agg(*[c.alias(f"{name}__{n}") for n, c in made.items()])
             elif self.grouping_keys is None:
                 side = paths.df.select(*keys, value.alias(name))
+            elif not relation.key:
+                side = paths.df.groupBy(*keys).agg(F.collect_list(value).alias(name))
             else:
                 key = F.col(f"`{relation.key[0]}`") if len(relation.key) == 1 else F.struct(*[F.col(f"`{k}`") for k in relation.key])
                 side = paths.df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))

@@ -17,40 +17,51 @@ from .base import Operator, relation_of
 KEY_TYPE = T.DoubleType()
 
 
-#: Sampled values for each range from which the ranges of a sort key that is no number are cut.
-SAMPLE = 100
+#: Sampled rows for each range from which the ranges are cut.
+SAMPLE = 30
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, reverse: bool = False) -> DataFrame:
     """Global row numbers from 0 without bringing all rows into one task; ``reverse`` turns the order of the first column.
 
-    Rows are cut into ranges of the first sort column, and a number is its range's offset plus its place there.  The cuts are
-    constants in the plan, so counts and numbers agree in any rerun.  Rows that share one value stay in one range.
+    Rows are cut into ranges of the whole order, ties included, so rows of one frequent value are spread as well; a number is its
+    range's offset plus its place there.  The cuts are constants in the plan, so counts and numbers agree in any rerun.  To find
+    them, the rows are counted and a sample of them is collected.
     """
     keys = [f"__k{i}" for i in range(len(order))]
     df = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
-    ranged = df.withColumn("__range", _range(df, keys[0], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    turn = (lambda c: F.desc(c)) if reverse else F.asc
+    sort = [F.desc(keys[0]) if reverse else F.asc(keys[0]), *keys[1:]]
+    ranged = df.withColumn("__range", _range(df, keys, sort, reverse))
     counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("__range", (F.sum("n").over(Window.orderBy(turn("__range"))) - F.col("n")).alias("__offset"))
-    placed = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(turn(keys[0]), *keys[1:])) - 1)
+    offsets = counts.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__offset"))
+    placed = ranged.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*sort)) - 1)
     # One row for each range, at most the number of shuffle partitions.
     return placed.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__place") + F.col("__offset")).cast("long")).drop(*keys, "__range", "__place", "__offset")
 
 
-def _range(df: DataFrame, key: str, parts: int) -> Column:
-    """Number of cuts at or below the key; NULL keys are in range 0."""
-    kind = df.schema[key].dataType
-    if isinstance(kind, T.NumericType):
-        found = df.select(F.percentile_approx(key, F.array(*[F.lit(i / parts) for i in range(1, parts)] or [F.lit(0.5)]), F.lit(10000))).first()[0]
-        cuts = [F.lit(v) for v in sorted(set(found or []))]
-    else:
-        share = min(1.0, 2 * SAMPLE * parts / max(1, df.count()))
-        values = sorted(r[0] for r in df.select(F.col(key).cast("string")).where(F.col(key).isNotNull()).sample(share, 7).limit(4 * SAMPLE * parts).collect())
-        cuts = [F.lit(v).cast(kind) for v in sorted({values[len(values) * i // parts] for i in range(1, parts)})] if values else []
+def _range(df: DataFrame, keys: list[str], sort: list[Any], reverse: bool) -> Column:
+    """Number of cuts at or before the row in the order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys)
+    share = min(1.0, 2 * SAMPLE * parts / max(1, rows.count()))
+    found = [tuple(r) for r in rows.sample(share, 7).limit(4 * SAMPLE * parts).orderBy(*sort).collect()]
+    cuts = list(dict.fromkeys(found[len(found) * i // parts] for i in range(1, parts))) if found else []
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*cuts), lambda c: c <= F.col(key)))
+    literals = [F.struct(*[F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(keys, cut, strict=True)]) for cut in cuts]
+
+    def before(cut: Column, i: int) -> Column:
+        """Whether the cut's key ``i`` comes before the row's; NULL is smallest."""
+        a, b = (F.col(keys[0]), cut[keys[0]]) if reverse and i == 0 else (cut[keys[i]], F.col(keys[i]))
+        return F.coalesce(a < b, a.isNull() & b.isNotNull())
+
+    def at_or_before(cut: Column) -> Column:
+        holds = F.lit(True)
+        for i in reversed(range(len(keys))):
+            holds = before(cut, i) | (cut[keys[i]].eqNullSafe(F.col(keys[i])) & holds)
+        return holds
+
+    return F.size(F.filter(F.array(*literals), at_or_before))
 
 
 def ordered(relation: Relation, paths: Paths, key: Any, reverse: bool) -> list[Column]:
@@ -58,8 +69,15 @@ def ordered(relation: Relation, paths: Paths, key: Any, reverse: bool) -> list[C
     return [column.desc() if reverse else column.asc(), *relation.order]
 
 
+def relations_by(database: Database, key: Callable[[Relation], Any], reverse: bool) -> dict[str, Relation]:
+    """The relations of a database in the order of a function of each."""
+    if not callable(key):
+        raise TypeError("the sort key of a database is a function of a relation")
+    return {n: database[n] for n in sorted(database.relations, key=lambda n: key(database[n]), reverse=reverse)}
+
+
 class rank_by(Operator):
-    """Values under their ranks 0 to n-1, smallest sort key first; the old key goes.
+    """Values under their ranks 0 to n-1, smallest sort key first; the old key goes.  Of a database, the relations under theirs.
 
     ``partition_by``: ranks within each group of these attributes, whose values join the new key.
     """
@@ -72,7 +90,9 @@ class rank_by(Operator):
             raise TypeError("the ranking key must be a path, a column or callable")
         self.ranking_key, self.reverse, self.partition_by, self.keep_key = ranking_key, reverse, tuple(partition_by), keep_key
 
-    def compute(self) -> Relation:
+    def compute(self) -> Any:
+        if isinstance(self.input, Database):
+            return self.input.with_relations(dict(enumerate(relations_by(self.input, self.ranking_key, self.reverse).values())), references=())
         relation = relation_of(self.input).materialised()
         paths = Paths(relation)
         column = column_of(relation, paths, self.ranking_key, kind=KEY_TYPE)
@@ -108,8 +128,7 @@ class subset(Operator):
         if self.subset_predicate is not None:
             return self.subset_predicate(source)
         if isinstance(source, Database):
-            ranked = sorted(source.relations, key=lambda n: self.ranking_key(source[n]), reverse=self.reverse)
-            return source.subset(*ranked[: self.k])
+            return source.subset(*list(relations_by(source, self.ranking_key, self.reverse))[: self.k])
         relation = relation_of(source)
         paths = Paths(relation)
         df = paths.df.orderBy(*ordered(relation, paths, self.ranking_key, self.reverse)).limit(self.k)
@@ -127,7 +146,9 @@ class items_sorted_by(Operator):
             raise TypeError("the sorting key must be a path, a column or callable")
         self.sorting_key, self.reverse = sorting_key, reverse
 
-    def compute(self) -> Iterator[dict[str, Any]]:
+    def compute(self) -> Iterator[Any]:
+        if isinstance(self.input, Database):
+            return iter(relations_by(self.input, self.sorting_key, self.reverse).items())
         relation = relation_of(self.input)
         paths = Paths(relation)
         df = paths.df.orderBy(*ordered(relation, paths, self.sorting_key, self.reverse)).select(*[F.col(f"`{c}`") for c in relation.df.columns])

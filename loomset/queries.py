@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.aggregates import Avg, Count, Max, Median, Min, Sum
+from .functions.aggregates import AggregationFunction, Avg, Count, Max, Median, Min, Sum
 from .functions.predicates import And, Eq, Gt, In, Like, Not, Or, Ref
 from .model import Database, Relation, Relationship, Tensor
-from .operators.constraints import add_join_predicate, add_reference, drop_reference
-from .operators.filters import filter_items_scan_complement, filter_keys, filter_values
+from .operators.constraints import InSubset, MaxCount, SameAttributes, Schema, add_join_predicate, add_reference, delete, drop_join_predicate, drop_reference, insert, update
+from .operators.filters import filter_items, filter_items_scan_complement, filter_keys, filter_values
 from .operators.grouping import above_average, aggregate, cube, group_by, group_by_aggregate, partition, partition_by_aggregate
 from .operators.joins import cogroup, join, reference_blockers, reference_violations, semijoin, subdatabase
-from .operators.ranking import rank_by, subset
+from .operators.ranking import items_sorted_by, rank_by, subset
 from .operators.sets import intersect, minus, union, values_union
-from .operators.shapes import disaggregate, flatten, project, rename, transform_items
+from .operators.shapes import disaggregate, flatten, project, rename, transform, transform_items
 from .plans.ir import LogicalPlan, extract
+from .sources import catalog
 from .sources.sales import database
 from .streaming.events import deduplicated, sessions, windowed
 
@@ -290,9 +291,10 @@ FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_
 def cogroup_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark, sf_dir, "customer", "supplier")
     db = db.with_relations({"customer": db["customer"].where(c_acctbal__gt=9000), "supplier": db["supplier"].where(s_acctbal__gt=5000)})
-    groups = cogroup(db, {"customer": "c_nationkey", "supplier": "s_nationkey"}).result.df
-    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).cast("long")
-    return groups.select("c_nationkey", size("customer").alias("customers"), size("supplier").alias("suppliers"))
+    counts = {"customer": {"n": Count()}, "supplier": {"n": Count()}}
+    groups = cogroup(db, {"customer": "c_nationkey", "supplier": "s_nationkey"}, aggregates=counts).result.df
+    size = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return groups.select("c_nationkey", size("customer__n").alias("customers"), size("supplier__n").alias("suppliers"))
 
 
 @_query("""
@@ -538,3 +540,258 @@ def smallest_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return database(spark, sf_dir, "events")["events"].df.select("user_id", "event_id", "value", F.round(F.sum("value").over(window), 4).alias("running"))
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '00007') AND starts_with(c_mktsegment, 'B') AND NOT (c_acctbal IS NULL)")
+def where_contains_startswith(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = database(spark, sf_dir, "customer")["customer"]
+    return rows.where(c_name__contains="00007", c_mktsegment__startswith="B", c_acctbal__isnull=False).df.select("c_custkey", "c_name")
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
+def where_contains_in_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = database(spark, sf_dir, "documents")["documents"]
+    words = transform_items(docs, columns={"lang": lambda v: v.lang, "words": lambda v: F.split(v.text, " ")}).result
+    return words.where(words__contains="the").df.select("doc_id", "lang")
+
+
+@_query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NULL")
+def where_isnull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = cogroup(database(spark, sf_dir, "documents", "labels")).result
+    return groups.where(labels__isnull=True, documents__isnull=False).df.select("doc_id")
+
+
+@_query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 7 = 3 AND c_name LIKE '%3'")
+def filter_items_by_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = database(spark, sf_dir, "customer")["customer"]
+    return filter_items(rows, lambda item: item.key % 7 == 3 and item.value.c_name[-1] == "3", as_udf=True).result.df.select("c_custkey", "c_acctbal")
+
+
+@_query("SELECT 'orders' AS relation, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def filter_database_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations of a database that hold more than the customers."""
+    db = database(spark, sf_dir, "nation", "customer", "orders", "lineitem")
+    customers = len(db["customer"])
+    kept = filter_values(db, lambda relation: len(relation) > customers).result
+    return _each(kept, lambda df: df.agg(F.count(F.lit(1)).alias("n")))
+
+
+def _each(db: Database, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    frames = [query(r.df).select(F.lit(n).cast("string").alias("relation"), "*") for n, r in db.relations.items()]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+@_query("""
+SELECT '0' AS relation, count(*) AS n FROM region UNION ALL SELECT '1', count(*) FROM nation
+UNION ALL SELECT '2', count(*) FROM customer UNION ALL SELECT '3', count(*) FROM orders""")
+def rank_relations_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = rank_by(database(spark, sf_dir, "orders", "nation", "region", "customer"), ranking_key=len).result
+    return _each(ranked, lambda df: df.agg(F.count(F.lit(1)).alias("n")))
+
+
+@_query("SELECT 'orders' AS relation, CAST(sum(o_totalprice > 1000) AS BIGINT) AS n FROM orders")
+def largest_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = subset(database(spark, sf_dir, "customer", "orders", "nation"), ranking_key=len, k=1, reverse=True).result
+    return _each(kept, lambda df: df.agg(F.sum((F.col("o_totalprice") > 1000).cast("long")).alias("n")))
+
+
+@_query("""
+SELECT o_orderstatus, o_orderkey, rank FROM (
+  SELECT o_orderstatus, o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC, o_orderkey) - 1 AS rank FROM orders)""")
+def rank_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three values for all rows: the ranges are cut inside the ties."""
+    ranked = rank_by(database(spark, sf_dir, "orders")["orders"], ranking_key="o_orderstatus", reverse=True, keep_key=True).result
+    return ranked.df.select("o_orderstatus", "o_orderkey", "rank")
+
+
+@_query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 15")
+def bottom_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return database(spark, sf_dir, "part")["part"].bottom(15, "p_retailprice").df.select("p_partkey", "p_retailprice")
+
+
+@_query("SELECT r_regionkey, r_name, row_number() OVER (ORDER BY r_name DESC) - 1 AS place FROM region")
+def regions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items_sorted_by(database(spark, sf_dir, "region")["region"], sorting_key="r_name", reverse=True).result
+    return spark.createDataFrame([(r["r_regionkey"], r["r_name"], i) for i, r in enumerate(rows)], "r_regionkey long, r_name string, place long")
+
+
+@_query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey IN (1, 77, 150)")
+def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = database(spark, sf_dir, "customer")["customer"]
+    found = [(k, rows[k]["c_name"], rows(k)["c_nationkey"]) for k in (1, 77, 150) if k in rows]
+    return spark.createDataFrame(found, "c_custkey long, c_name string, c_nationkey long")
+
+
+@_query("SELECT l_returnflag, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY l_returnflag")
+def aggregate_by_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spread = AggregationFunction(lambda values: float(max(values) - min(values)), "l_quantity", "double")
+    return group_by_aggregate(database(spark, sf_dir, "lineitem")["lineitem"], "l_returnflag", spread=spread).result.df
+
+
+@_query("SELECT 'customer' AS relation, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part")
+def aggregate_each_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(aggregate(database(spark, sf_dir, "customer", "supplier", "part"), n=Count()).result, lambda df: df)
+
+
+@_query("""
+SELECT 'l_returnflag/l_linestatus' AS relation, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'l_returnflag', l_returnflag, NULL, count(*) FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'all', NULL, NULL, count(*) FROM lineitem""")
+def rollup_as_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = cube(database(spark, sf_dir, "lineitem")["lineitem"], "l_returnflag", "l_linestatus", how="rollup", n=Count()).result
+    keys = [F.col(k) for k in ("l_returnflag", "l_linestatus")]
+    full = lambda df: df.select(*[k if c in df.columns else F.lit(None).cast("string").alias(c) for k, c in zip(keys, ("l_returnflag", "l_linestatus"), strict=True)], "n")
+    return _each(db, full)
+
+
+@_query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def cross_join_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, "region", "nation")
+    loose = drop_reference(db, source="nation", ref_key="region", target="region").result
+    rows = flatten(join(loose, cross=True)).result.df
+    return rows.select(F.col("`region.r_name`").alias("r_name"), F.col("`nation.n_name`").alias("n_name"))
+
+
+@_query("""
+SELECT a.c_custkey AS richer, b.c_custkey AS poorer FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_acctbal > b.c_acctbal + 9000""")
+def self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = database(spark, sf_dir, "customer")["customer"]
+    db = Database({"a": customer, "b": customer.copy()})
+    db = add_join_predicate(db, "a", "b", predicate=lambda a, b: a.c_nationkey == b.c_nationkey).result
+    db = add_join_predicate(db, "a", "b", predicate=lambda a, b: a.c_acctbal > b.c_acctbal + 9000).result
+    return join(db).result.df.select(F.col("a.c_custkey").alias("richer"), F.col("b.c_custkey").alias("poorer"))
+
+
+@_query("SELECT s_suppkey, count(*) AS same FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey")
+def dropped_join_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, "supplier", "customer")
+    same = add_join_predicate(db, "supplier", "customer", predicate=lambda s, c: s.s_nationkey == c.c_nationkey, description="same nation")
+    less = add_join_predicate(same, "supplier", "customer", predicate=lambda s, c: s.s_acctbal < c.c_acctbal, description="richer")
+    return group_by_aggregate(join(drop_join_predicate(less, description="richer")), "supplier.s_suppkey", same=Count()).result.df
+
+
+@_query("""
+WITH n AS (SELECT * FROM nation WHERE n_regionkey = 2), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n))
+SELECT 'region' AS relation, r_regionkey AS key FROM region WHERE r_regionkey IN (0, 1, 2, 3, 4)
+UNION ALL SELECT 'nation', n_nationkey FROM n WHERE n_nationkey IN (SELECT c_nationkey FROM customer) UNION ALL SELECT 'customer', c_custkey FROM c""")
+def subdatabase_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions are left whole and reduce nothing."""
+    db = database(spark, sf_dir, "region", "nation", "customer")
+    db = db.with_relations({**db.relations, "nation": db["nation"].where(n_regionkey=2)})
+    small = subdatabase(db, keep=("region",)).result
+    return _each(small, lambda df: df.select(F.col(df.columns[0]).cast("long").alias("key")))
+
+
+@_query("SELECT o_orderkey, count(l_linenumber) AS lines FROM (SELECT * FROM orders WHERE o_orderkey < 500) LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def cogroup_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines have no key of their own, so a group is a list of them."""
+    db = database(spark, sf_dir, "orders", "lineitem")
+    db = Database({"orders": db["orders"].where(o_orderkey__lt=500), "lineitem": db["lineitem"].where(l_orderkey__lt=500)})
+    groups = cogroup(db, {"orders": "o_orderkey", "lineitem": "l_orderkey"}).result
+    return groups.df.where("orders IS NOT NULL").select("o_orderkey", F.coalesce(F.size("lineitem"), F.lit(0)).cast("long").alias("lines"))
+
+
+@_query("""
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer
+UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 10 = 0""")
+def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New keys are added, rows of known keys replaced; types, values and references are checked."""
+    db = database(spark, sf_dir, "nation", "customer")
+    rows = db["customer"].df.where("c_custkey % 10 = 0")
+    checked = db["customer"].with_constraint(InSubset("c_mktsegment", tuple(r[0] for r in rows.select("c_mktsegment").distinct().collect())), MaxCount(10**9), SameAttributes(frozenset(rows.columns) - {"c_custkey"}))
+    db = db.with_relations({**db.relations, "customer": checked})
+    db = insert(db, "customer", rows.withColumn("c_acctbal", F.lit(0.0)))
+    db = insert(db, "customer", rows.withColumn("c_custkey", F.col("c_custkey") + 1000000))
+    return db["customer"].df.select("c_custkey", "c_name", "c_acctbal")
+
+
+@_query("""
+SELECT n_nationkey, n_name, n_regionkey AS boss FROM nation
+UNION ALL SELECT n_nationkey + 100, n_name, n_nationkey FROM nation UNION ALL SELECT n_nationkey + 200, n_name, n_nationkey + 100 FROM nation""")
+def insert_self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows refer to old rows, or to rows that come with them, of their own relation."""
+    nation = database(spark, sf_dir, "nation")["nation"].df.select("n_nationkey", "n_name", F.col("n_regionkey").alias("boss"))
+    db = add_reference(Database({"nation": Relation(nation, ("n_nationkey",))}), source="nation", ref_key="leader", target="nation", columns="boss", validate=True).result
+    moved = lambda by, boss: nation.select((F.col("n_nationkey") + by).alias("n_nationkey"), "n_name", (F.col("n_nationkey") + boss).alias("boss"))
+    return insert(db, "nation", moved(100, 0).unionByName(moved(200, 100)))["nation"].df
+
+
+@_query("SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = update(database(spark, sf_dir, "nation", "customer"), "customer", {"c_acctbal": 0.0}, lambda v: v.c_acctbal < 0)
+    return db["customer"].df.select("c_custkey", "c_nationkey", "c_acctbal")
+
+
+@_query("SELECT n_nationkey, c_custkey FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE n_nationkey % 5 = 3")
+def update_key_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows forbid that the keys of some nations change; the change itself is refused."""
+    from .errors import ConstraintViolationError
+
+    db = database(spark, sf_dir, "nation", "customer")
+    try:
+        update(db, "nation", {"n_nationkey": lambda v: v.n_nationkey + 1000}, lambda v: v.n_nationkey % 5 == 3)
+    except ConstraintViolationError:
+        blockers = reference_blockers(db, db.references[0], db["nation"].df.where("n_nationkey % 5 = 3"))
+        return blockers.select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    raise AssertionError("a key that others refer to was changed")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 100000)")
+def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, "customer", "orders")
+    return delete(db, "orders", db["orders"].df.where("o_totalprice < 100000").select("o_orderkey"))["orders"].df.select("o_orderkey")
+
+
+@_query("SELECT count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS total FROM customer")
+def checked_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a schema refuses leave the relation as it was."""
+    from .errors import ConstraintViolationError
+
+    db = database(spark, sf_dir, "customer")
+    schema = Schema({f.name: f.dataType for f in db["customer"].df.schema})
+    db = db.with_relations({"customer": db["customer"].with_constraint(schema)})
+    try:
+        db = insert(db, "customer", db["customer"].df.limit(5).withColumns({"c_custkey": F.col("c_custkey") + 10**6, "c_name": F.lit(1)}))
+    except ConstraintViolationError:
+        pass
+    return aggregate(db["customer"], n=Count(), total=Sum("c_nationkey")).result.df
+
+
+@_query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database as it was stored and read again, references included."""
+    import tempfile
+    import uuid
+
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/catalog-{uuid.uuid4()}"
+    catalog.save(database(spark, sf_dir, "region", "nation"), path)
+    rows = join(catalog.load(spark, path)).result.df
+    return rows.select("nation.n_name", "region.r_name")
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7 UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier WHERE s_nationkey = 7")
+def update_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, "customer", "supplier")
+    mine = db["customer"].where(c_nationkey=7)
+    other = db["supplier"].where(s_nationkey=7).df.select((F.col("s_suppkey") + 1000000).alias("c_custkey"), F.col("s_name").alias("c_name"))
+    whole = mine.with_df(mine.df.select("c_custkey", "c_name"))
+    return whole.update(Relation(other, ("c_custkey",))).df.select("c_custkey", "c_name")
+
+
+@_query("SELECT l_linestatus, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_linestatus")
+def transform_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transform(database(spark, sf_dir, "lineitem")["lineitem"], transformation_function=lambda relation: relation.where(l_quantity__gt=25))
+    return group_by_aggregate(rows, "l_linestatus", n=Count()).result.df
+
+
+@_query("SELECT count(*) AS n, CAST(0 AS DOUBLE) AS largest FROM (SELECT unnest(embedding) FROM embeddings)")
+def tensor_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tensor of all vectors less itself."""
+    cells = database(spark, sf_dir, "embeddings")["embeddings"].df.select(F.col("vec_id").alias("c0"), F.posexplode("embedding").alias("c1", "value"))
+    cells = cells.select("c0", "c1", F.col("value").cast("double").alias("value"))
+    tensor = Tensor(cells, (1 << 62, 1 << 31))
+    return (tensor - tensor).df.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("value")).alias("largest"))

@@ -41,6 +41,23 @@ def load(spark: SparkSession, path: str) -> Database:
     return Database(relations, references, name=manifest["name"])
 
 
+def current(spark: SparkSession, path: str) -> tuple[Database, int | None]:
+    """The newest whole version of a catalog and its number; the catalog as first saved has none.
+
+    The manifest is written last, so a version that has one is whole.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-*/{MANIFEST}/_SUCCESS")) or []
+    numbers = [int(f.getPath().getParent().getParent().getName().removeprefix("version-")) for f in found]
+    return (load(spark, f"{path}/version-{max(numbers)}"), max(numbers)) if numbers else (load(spark, path), None)
+
+
+def commit(database: Database, path: str, number: int) -> None:
+    """Write a version; one that was interrupted is written anew."""
+    save(database, f"{path}/version-{number}", "overwrite")
+
+
 def read(spark: SparkSession, path: str, key: str | tuple[str, ...], name: str | None = None, format: str = "parquet", schema: str | None = None, **options: str) -> Relation:
     """A relation over files of any format Spark reads."""
     reader = spark.read.format(format).options(**options)

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import Database
-
 
 def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
     return events.withWatermark(time, late) if events.isStreaming else events
@@ -49,14 +47,18 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return query
 
 
-def ingest(database: Database, name: str, stream: DataFrame, checkpoint: str, commit: Callable[[Database], None]) -> StreamingQuery:
-    """Insert a stream's batches into a relation as checked versions of the database; ``commit`` gets each new version."""
-    from ..operators.constraints import insert
+def ingest(spark: SparkSession, path: str, name: str, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Insert a stream's batches into a relation of the catalog at ``path``, each as a checked version of its own.
 
-    state = {"now": database}
+    A version is written under its batch's number, and each batch starts from the newest whole version.  So a restart goes on where the last whole batch ended, a batch that is run again after a failure changes
+    nothing, and a plan never holds more than one batch.  One stream and its checkpoint belong to one catalog.
+    """
+    from ..operators.constraints import insert
+    from ..sources.catalog import commit, current
 
     def sink(batch: DataFrame, number: int) -> None:
-        state["now"] = insert(state["now"], name, batch)
-        commit(state["now"])
+        database, last = current(spark, path)
+        if last is None or last < number:
+            commit(insert(database, name, batch), path, number)
 
     return run_available(stream, sink, checkpoint)

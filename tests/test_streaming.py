@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from loomset.functions.predicates import Eq
 from loomset.model import Database, Relation
 from loomset.operators.filters import filter_values
+from loomset.operators.constraints import insert
+from loomset.sources.catalog import commit, current, save
 from loomset.streaming.events import deduplicated, ingest, read_stream, run_available, sessions, windowed
 
 SCHEMA = "event_id long, ts timestamp, user long, value double"
@@ -39,6 +41,16 @@ def test_operators_on_a_stream_and_ingest(spark, tmp_path):
     run_available(filter_values(db["events"], Eq("who.name", "Ann")).result.df, lambda b, i: seen.extend(r.event_id for r in b.collect()), str(tmp_path / "cp"))
     assert sorted(seen) == [1, 2, 3]
     base = Database({"events": Relation(spark.createDataFrame([], SCHEMA), ("event_id",), "events")})
-    versions = []
-    ingest(base, "events", deduplicated(stream, ["event_id"]), str(tmp_path / "cp2"), lambda d: versions.append(len(d["events"])))
-    assert versions[0] == 4
+    path = str(tmp_path / "catalog")
+    save(base, path)
+    only = lambda n: read_stream(spark, str(tmp_path / "in"), SCHEMA).where(f"event_id <= {n}")
+    ingest(spark, path, "events", deduplicated(only(2), ["event_id"]), str(tmp_path / "cp2"))
+    first, number = current(spark, path)
+    assert sorted(r.event_id for r in first["events"].df.collect()) == [1, 2]
+    # A restart goes on from the stored version; a batch that comes again changes nothing.
+    spark.createDataFrame([], SCHEMA).unionByName(spark.read.schema(SCHEMA).parquet(str(tmp_path / "in"))).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest(spark, path, "events", deduplicated(only(9), ["event_id"]), str(tmp_path / "cp2"))
+    after, last = current(spark, path)
+    assert {r.event_id for r in after["events"].df.collect()} >= {1, 2} and last > number
+    commit(insert(after, "events", spark.createDataFrame([], SCHEMA)), path, last + 1)
+    assert current(spark, path)[1] == last + 1 and len(current(spark, path)[0]["events"]) == len(after["events"])
