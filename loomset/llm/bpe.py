@@ -30,6 +30,8 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Pre-tokens whose encodings a Python worker remembers; as many of those before them stay until it is full again.
 REMEMBERED = 200_000
+#: Longer pre-tokens are not remembered, which bounds the bytes as well.
+LONGEST_REMEMBERED = 64
 _END = "</w>"
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -168,8 +170,10 @@ class PrefixEncoder:
         found = self.older.get(word)
         if found is None:
             ids = self.encode_word(word)
-            found = (pack(f"<{len(ids)}I", *ids), " ".join([self.name[i] for i in ids]))
-        self.words[word] = found
+            packed = pack(f"<{len(ids)}I", *ids)
+            found = (packed, self.decode(packed))
+        if len(word) <= LONGEST_REMEMBERED:
+            self.words[word] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:

@@ -3,8 +3,11 @@
 A sequence has three limits: tokens, segments and loss-bearing tokens.  An open sequence takes, of the pieces that fit, the
 one whose demand has the largest dot product with the room left in all three, each as a share of its limit; so a sequence
 short of loss tokens takes prompt-heavy pieces and one short of segments takes long ones.  When no piece fits whole, the
-largest is cut to fill the room and its rest stays.  The tokens left at the end of a task go into sequences whose
-sizes are the powers of two in their number, which need no padding.
+longest front that does is cut off and the rest stays.  A sequence that a limit ends before it is full is cut back to a power
+of two, and so is what is left at the end of a task; such sequences need no padding.
+
+Documents have no marked prompts, so a fixed rule stands in for them: the first sixteenth of a document's tokens
+(``PROMPT_PART``) is its prompt and bears no loss, and a sequence holds at most ``MAX_LOSS`` tokens that do.
 
 Every task packs its own rows, so nothing is shuffled and no token leaves the task that made it; a rerun of a lost task
 repeats the same numbers.
@@ -30,11 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import REMEMBERED, byte_symbols, ordinary
+from .bpe import LONGEST_REMEMBERED, REMEMBERED, byte_symbols, ordinary
 
 END_ID = 1
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
+MAX_LOSS = 1984
+#: One in so many tokens of a document, its first ones, is prompt.
+PROMPT_PART = 16
 #: Pieces that wait in a task before it packs them.
 POOL = 3000
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,9 +66,11 @@ class ByteTokenizer:
         self.library = Tokenizer.from_file(path)
 
     def _remember(self, word: str) -> bytes:
-        if len(self.words) >= 2 * REMEMBERED:
-            self.words.clear()
-        found = self.words[word] = np.array(self.model.encode_ordinary(word), dtype="<u4").tobytes()
+        found = np.array(self.model.encode_ordinary(word), dtype="<u4").tobytes()
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self.words) >= 2 * REMEMBERED:
+                self.words.clear()
+            self.words[word] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -92,73 +100,77 @@ class Packer:
     ``placed`` gets (example, start, length, sequence, offset) for each piece.
     """
 
-    def __init__(self, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS):
+    def __init__(self, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS):
         self.limits = np.array([max_tokens, max_segments, max_loss], dtype=np.float64)
-        self.waiting: list[tuple[int, int, int, int]] = []  # example, start, tokens, loss tokens
+        self.waiting: list[tuple[int, int, int, int]] = []  # example, start, tokens left, loss tokens of the whole example
         self.sequence = 0
         self.placed: list[tuple[int, int, int, int, int]] = []
 
     def add(self, example: int, size: int, loss: int) -> None:
-        """Whole sequences' worth of a long example are placed at once; its rest waits."""
-        start, tokens, max_loss = 0, int(self.limits[0]), int(self.limits[2])
-        while size - start >= tokens and min(loss, size - start) - min(loss, size - start - tokens) <= max_loss:
-            self.placed.append((example, start, tokens, self.sequence, 0))
-            self.sequence, start = self.sequence + 1, start + tokens
-        if size > start:
-            self.waiting.append((example, start, size - start, min(loss, size - start)))
+        self.waiting.append((example, 0, size, loss))
 
     def pack(self, final: bool = False) -> None:
         """Fill sequences from what waits; unless ``final``, less than one sequence's tokens may stay waiting."""
         if not self.waiting:
             return
         table = np.array(self.waiting, dtype=np.int64)
-        example, start, tokens, loss = (table[:, k].copy() for k in range(4))
+        example, start, tokens, whole = (table[:, k].copy() for k in range(4))
         left, full = int(tokens.sum()), int(self.limits[0])
-        while left >= full:
-            left -= self._fill(full, example, start, tokens, loss)
-        while final and left:
-            left -= self._fill(1 << left.bit_length() - 1, example, start, tokens, loss)
+        while left >= full or final and left:
+            left -= self._fill(min(full, 1 << left.bit_length() - 1) if final else full, example, start, tokens, whole)
         alive = np.flatnonzero(tokens)
-        self.waiting = list(zip(*(x[alive].tolist() for x in (example, start, tokens, loss)), strict=True))
+        self.waiting = list(zip(*(x[alive].tolist() for x in (example, start, tokens, whole)), strict=True))
 
-    def _fill(self, room: int, example: np.ndarray, start: np.ndarray, tokens: np.ndarray, loss: np.ndarray) -> int:
-        """One sequence of at most ``room`` tokens; returns how many it took."""
+    def _fill(self, target: int, example: np.ndarray, start: np.ndarray, tokens: np.ndarray, whole: np.ndarray) -> int:
+        """One sequence of ``target`` tokens, or of the largest power of two that its limits allow; returns how many it took."""
         _, segments, loss_room = self.limits
-        size, weight = room, 1 / self.limits**2
+        room, weight = target, 1 / self.limits**2
+        # Loss tokens are an example's last ones, and what waits of it always reaches to its end.
+        loss = np.minimum(tokens, whole)
+        free, open_, taken = tokens - loss, tokens > 0, []
         while room and segments:
-            fits = (tokens > 0) & (tokens <= room) & (loss <= loss_room)
+            fits = open_ & (tokens <= room) & (loss <= loss_room)
             gain = np.where(fits, tokens * (room * weight[0]) + segments * weight[1] + loss * (loss_room * weight[2]), -1.0)
             i = int(gain.argmax())
+            take = int(tokens[i])
             if gain[i] < 0:
-                # Prompt tokens come first in an example, so a cut's front has fewest loss tokens.
-                front = np.minimum(np.minimum(tokens, room), tokens - loss + int(loss_room))
-                i = int(np.where(tokens > 0, front * 4096.0 + np.minimum(tokens, 4095), 0).argmax())
+                # None fits whole: the longest front that does, of equal ones the front of the longest piece.
+                front = np.where(open_, np.minimum(np.minimum(tokens, room), free + int(loss_room)), 0)
+                i = int((front * 4096.0 + np.minimum(tokens, 4095) * (front > 0)).argmax())
                 take = int(front[i])
-                if tokens[i] == 0 or take <= 0:
+                if take <= 0:
                     break
-            else:
-                take = int(tokens[i])
-            bearing = max(0, take - int(tokens[i] - loss[i]))
-            self.placed.append((int(example[i]), int(start[i]), take, self.sequence, size - room))
+            taken.append((i, take))
+            open_[i] = False
+            room, segments, loss_room = room - take, segments - 1, loss_room - max(0, take - int(free[i]))
+        size = target - room
+        if room:
+            # A limit ended it: it is cut back to a power of two, which needs no padding.
+            size = 1 << size.bit_length() - 1
+        offset = 0
+        for i, take in taken:
+            take = min(take, size - offset)
+            if take <= 0:
+                break
+            self.placed.append((int(example[i]), int(start[i]), take, self.sequence, offset))
             start[i] += take
             tokens[i] -= take
-            loss[i] -= bearing
-            room, segments, loss_room = room - take, segments - 1, loss_room - bearing
+            offset += take
         self.sequence += 1
-        return size - room
+        return size
 
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
-    """Pieces of all rows of ``docs``, each document's ids followed by the end token; every token of a document bears loss.
+def pack_documents(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS) -> DataFrame:
+    """Pieces of all rows of ``docs``, each document's ids followed by the end token.
 
     The vocabulary file must be on every executor.  sequence_id holds the task's number in its upper bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, packer = tokenizer(path), Packer(max_tokens, max_segments, max_loss or max_tokens)
+        model, packer = tokenizer(path), Packer(max_tokens, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[int | None, np.ndarray]] = {}
         seen = 0
@@ -181,7 +193,7 @@ def pack_documents(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, max
             for i in range(batch.num_rows):
                 found = np.append(model.encode(batch.column("text")[i].as_py() or ""), np.uint32(END_ID)).astype("<u4")
                 held[seen] = (ids[i], found)
-                packer.add(seen, len(found), len(found))
+                packer.add(seen, len(found), len(found) - len(found) // PROMPT_PART)
                 seen += 1
                 if len(packer.waiting) >= POOL or len(packer.placed) >= 4 * POOL:
                     packer.pack()

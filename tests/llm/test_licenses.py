@@ -1,6 +1,6 @@
 import duckdb
 
-from loomset.llm import licenses
+from loomset.llm import _text, licenses
 from tests.llm.cases import empty, odd_documents, prose
 
 STATEMENTS = [
@@ -33,6 +33,31 @@ def test_same_as_the_join_without_filters(spark, tmp_path):
     assert by[18][1:] == (0, 0, None, None, "", "", 0.0) == by[19][1:]
 
 
+def test_each_filter_lets_something_go():
+    frequency = {t: i % 7 for i, t in enumerate(licenses._TOKENS)}
+    templates, counts = licenses.Templates(frequency), {}
+    whole = [" ".join(t.split()).encode() for _, t in licenses.TEMPLATES]
+    texts = whole + [prose(i, 40).encode() + b" " + b" ".join(t.split()[::2]) + prose(i, 40).encode() for i, t in enumerate(whole)]
+    found = licenses.matches(texts, templates, counts)
+    assert min(counts[k] for k in ("length", "position", "verified", "met")) > 0
+    want = set()
+    for text, raw in enumerate(texts):
+        words = licenses.words_of(raw)
+        for block in range(licenses.block_count(len(words))):
+            there = set(words[block * licenses.STRIDE : block * licenses.STRIDE + licenses.BLOCK_WORDS])
+            want |= {(text, block, t) for t, part in enumerate(templates.words) if len(there.intersection(part)) >= 0.9 * len(part) - 1e-9}
+    assert {f[:3] for f in found} == want and all({templates.labels[f[2]] for f in found if f[0] == i} >= {label} for i, (label, _) in enumerate(licenses.TEMPLATES))
+
+
+def test_texts_in_pieces(monkeypatch):
+    texts = [(prose(1, 300) + " Released under the MIT License. " + "y" * 200 + " " + prose(2, 300)).encode(), b"", b"under the mit license " * 40]
+    whole = licenses.base_places(texts)
+    monkeypatch.setattr(licenses, "PIECE_BYTES", 100)
+    monkeypatch.setattr(_text, "PIECE_BYTES", 100)
+    cut = licenses.base_places(texts)
+    assert (whole[0] == cut[0]).all() and whole[1] == cut[1] and [len(licenses.words_of(t)) for t in texts] == cut[0].tolist()
+
+
 def test_on_odd_tables(spark):
     docs = odd_documents(spark)
     rows = licenses.scan(docs).collect()
