@@ -6,7 +6,7 @@ true distance d into a projected squared distance of d^2 times a chi-square vari
 projections: its cuts come from a bounded sample, every candidate descends to its leaf, and leaves that are too large for one
 task are dealt by a hash.
 
-A query visits leaves by growing distance of their boxes, first the nearest, then sixteen times as many in each round.  Within a
+A query visits leaves by growing distance of their boxes, first the nearest, then eight times as many in each round.  Within a
 leaf it verifies candidates on the original vectors by growing projected distance.  Before each leaf and after each step it is tested
 whether a candidate as near as its present k-th would, with probability ``CERTAINTY``, have shown up at the projected distance
 reached; then the query stops.
@@ -135,9 +135,11 @@ def box_gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
 
 
 def verified_search(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Each query's k nearest found in a leaf and all that tie with the last, and the number of candidates verified."""
+    """Each query's k nearest found in a leaf, as far as they reach its k-th best score so far, all that tie with the last, and the number of candidates verified."""
     x, points, ids = matrix(candidates), matrix(candidates, "point"), candidates["vec_id"].to_numpy()
     q, at, own = matrix(queries), matrix(queries, "point"), queries["vec_id"].to_numpy()
+    # What is below the k-th best score of earlier rounds is no use.
+    known = queries["least"].fillna(-np.inf).to_numpy()
     factor, full, limits = queries["factor"].to_numpy(), queries["full"].to_numpy(), queries["limit"].fillna(np.inf).to_numpy()
     reach = chi_square_quantile(CERTAINTY, PROJECTED)
     square = (points**2).sum(axis=1)
@@ -159,7 +161,7 @@ def verified_search(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) ->
             verified += done
             if done:
                 score = score[:done]
-                last = -np.partition(-score, k - 1)[k - 1] if done > k else -np.inf
+                last = max(known[i], -np.partition(-score, k - 1)[k - 1] if done > k else -np.inf)
                 # Products of one pair may differ in the last bits with their place in a matrix; near ties are settled below.
                 near = np.flatnonzero(~(score < last - 1e-9 * np.abs(score).max()))
                 j = order[near]
@@ -222,17 +224,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> tuple[DataFra
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
         if best is None:
-            known = asked.withColumn("limit", F.lit(None).cast("double"))
+            known = asked.withColumns({"limit": F.lit(None).cast("double"), "least": F.lit(None).cast("double")})
         else:
             distance = 2 * projection.full - 2 * F.col("least") * F.col("factor")
-            known = asked.join(thresholds(best, k), "row", "left").withColumn("limit", F.greatest(distance, F.lit(0.0)) + 1e-9 * projection.full).drop("least")
-        known = known.select("vec_id", "vector", "row", "point", "factor", "limit")
-        visits = known.mapInArrow(visit, "vec_id long, vector array<double>, row long, point array<double>, factor double, limit double, cells array<int>")
+            known = asked.join(thresholds(best, k), "row", "left").withColumn("limit", F.greatest(distance, F.lit(0.0)) + 1e-9 * projection.full)
+        known = known.select("vec_id", "vector", "row", "point", "factor", "limit", "least")
+        visits = known.mapInArrow(visit, "vec_id long, vector array<double>, row long, point array<double>, factor double, limit double, least double, cells array<int>")
         visits = visits.withColumns({"cell": F.explode("cells"), "full": F.lit(projection.full)}).drop("cells")
         lists.append(meet(visits, candidates, m, int(parts.sum()), k, verified_search, "double"))
         found = pairs_of(lists[-1])
         best = ranked(found if best is None else best.drop("rank").unionByName(found), k)
-        done, until = until, 16 * until
+        done, until = until, 8 * until
         if done < len(boxes):
             best = durable(best)
     return best, lists
