@@ -167,9 +167,16 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 3, epochs: int =
     seen, place = np.zeros(1 << BITS, dtype=bool), np.zeros(1 << BITS, dtype=np.int64)
     for step in range(rounds):
         if step:
-            weight = np.append(table @ (soft[:, 1] - soft[:, 0]), np.float32(0))
-            sums = np.add.reduceat(weight.take(np.append(bucket, 1 << BITS)), begin)
-            logit = np.where(size > 0, sums / np.maximum(size, 1), -9.0)[bad] + bias[1] - bias[0]
+            weight, logit = table @ (soft[:, 1] - soft[:, 0]), np.full(len(bad), -9.0)
+            for lo in range(0, len(bad), 4096):
+                rows = bad[lo : lo + 4096]
+                full = np.flatnonzero(size[rows] > 0)
+                n = size[rows[full]]
+                heads = np.cumsum(n) - n
+                ids = bucket.take(np.repeat(begin[rows[full]] - heads, n) + np.arange(n.sum()))
+                if len(full):
+                    logit[lo + full] = np.add.reduceat(weight.take(ids), heads) / n
+            logit += bias[1] - bias[0]
             want[bad] = logit > 0
             order = np.lexsort((logit, owner[bad]))
             last = np.append(owner[bad][order][1:] != owner[bad][order][:-1], True)
