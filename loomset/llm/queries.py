@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, topk
+from . import licenses, sharding, suffix_dedup, topk
 from .ann import op2_ann
 from .bpe import op7_bpe
 from .langid import op8_language_id
@@ -37,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": licenses.oracle_sql(), "op6_topk": topk.ORACLE_SQL}
+    return {"op3_suffix_dedup": suffix_dedup.ORACLE_SQL, "op4_sharding": sharding.oracle_sql(), "op5_licenses": licenses.oracle_sql(), "op6_topk": topk.ORACLE_SQL}

@@ -94,3 +94,32 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFra
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle_sql(shards: int = 40, seed: int = 7) -> str:
+    """The same numbering and permutation for DuckDB: checksums byte by byte, cycle walking as a recursion."""
+    modulus = "18446744073709551616::UHUGEINT"
+    network = "SELECT k, n, half, x >> half AS l, x & ((1::UBIGINT << half) - 1) AS r, step FROM walk, domain WHERE step = 0 OR x >= n"
+    for key in _keys(seed):
+        a = f"SELECT *, ((r::UHUGEINT + {key}) * {int(_MIX)}::UHUGEINT % {modulus})::UBIGINT AS a FROM ({network})"
+        b = f"SELECT *, (xor(a, a >> 29)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT % {modulus})::UBIGINT AS b FROM ({a})"
+        network = f"SELECT k, n, half, r AS l, xor(l, xor(b, b >> 32) & ((1::UBIGINT << half) - 1)) AS r, step FROM ({b})"
+    return f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS t
+  FROM (SELECT b, list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) AS c FROM (SELECT range AS b FROM range(256)))
+), bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents
+), summed AS (
+  SELECT doc_id, len(b) + 16 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM bytes, crc_table
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS k FROM summed
+), domain AS (
+  SELECT count(*)::UBIGINT AS n, greatest(2, CASE WHEN count(*) > 1 THEN length(ltrim(bin(count(*) - 1), '0')) ELSE 1 END) AS width, ((width + width % 2) // 2)::UBIGINT AS half FROM documents
+), walk(k, x, step) AS (
+  SELECT k, k::UBIGINT, 0 FROM numbered
+  UNION ALL SELECT k, (l << half) | r, step + 1 FROM ({network})
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (x % {shards})::INTEGER AS shard, (x // {shards})::BIGINT AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN walk USING (k), domain WHERE step > 0 AND x < n
+"""

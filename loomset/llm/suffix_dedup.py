@@ -488,6 +488,31 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Every window of MIN_BYTES bytes with the smallest doc_id that has it; texts as hexadecimal digits, in pieces so that a window is found fast.
+ORACLE_SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {_NO_ID}) AS id, hex(encode(coalesce(text, ''))) AS digits FROM documents
+), pieces AS (
+  SELECT r, id, off, substr(digits, 2 * off + 1, {2 * (512 + MIN_BYTES - 1)}) AS piece FROM (SELECT *, unnest(range(0, len(digits) // 2, 512)) AS off FROM texts)
+), windows AS (
+  SELECT r, id, off + i AS start, substr(piece, 2 * i + 1, {2 * MIN_BYTES}) AS w FROM (SELECT *, unnest(range(0, len(piece) // 2 - {MIN_BYTES - 1})) AS i FROM pieces)
+), firsts AS (
+  SELECT w, min(id) AS first FROM windows GROUP BY w HAVING min(id) < max(id)
+), covered AS (
+  SELECT r, start, start > coalesce(lag(start) OVER (PARTITION BY r ORDER BY start), -{MIN_BYTES} - 1) + {MIN_BYTES} AS fresh FROM windows JOIN firsts USING (w) WHERE first < id
+), runs AS (
+  SELECT r, run, min(start) AS lo, max(start) + {MIN_BYTES} AS hi FROM (SELECT *, sum(fresh::BIGINT) OVER (PARTITION BY r ORDER BY start) AS run FROM covered) GROUP BY r, run
+), cuts AS (
+  SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM runs GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(digits, 2 * his[i] + 1, 2 * (los[i] - his[i])), '' ORDER BY i) AS digits
+  FROM (SELECT r, digits, list_prepend(0, his) AS his, list_append(los, len(digits) // 2) AS los, unnest(range(1, len(his) + 2)) AS i FROM texts JOIN cuts USING (r)) GROUP BY r
+)
+SELECT doc_id, CAST(len(t.digits) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.digits, t.digits))) AS kept_sha256
+FROM texts t LEFT JOIN cuts USING (r) LEFT JOIN kept k USING (r)
+"""
+
+
 def keep_first_passages(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` without the passages that an earlier document has; columns and types stay, n_chars is counted anew."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
