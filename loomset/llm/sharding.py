@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .durable import durable
 
 ROUNDS = 6
+#: Rows that one task sorts, about.
+TASK_ROWS = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,16 +65,17 @@ def numbered(rows: DataFrame, order: list[str], name: str = "row_number") -> tup
     A range partition and a sort, kept in the shared folder so that counts and numbers come from the same rows; one count
     for each partition goes through the driver.
     """
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
     kept = durable(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33).cast("int")
-    counts = dict(kept.groupBy(part.alias("part")).count().collect())
-    offsets, total = {}, 0
+    part = F.shiftright("__at", 33).cast("int").alias("__part")
+    counts = dict(kept.groupBy(part).count().collect())
+    offsets, total = [], 0
     for k in sorted(counts):
-        offsets[k], total = total, total + counts[k]
-    table = F.create_map(*[F.lit(x) for pair in (offsets or {0: 0}).items() for x in (pair[0], int(pair[1]))])
-    number = F.element_at(table, part) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return kept.withColumn(name, number.cast("long")).drop("__at"), total
+        offsets.append((k, total))
+        total += counts[k]
+    kept = kept.select("*", part).join(F.broadcast(spark.createDataFrame(offsets, "__part int, __offset long")), "__part")
+    return kept.withColumn(name, F.col("__offset") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__offset"), total
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
