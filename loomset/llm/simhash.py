@@ -18,7 +18,8 @@ that has none.
 
 ``keep_one_similar`` serves the pipeline and links by similarity instead: texts whose sets of shingles have a Jaccard similarity of at
 least ``least``.  Fingerprints cannot find these: at 0.8 they differ in about ten bits.  Candidates are texts that agree in
-all minima of a band (MinHash); their sets are compared exactly, in tiles like those above, before anything is linked.
+all minima of a band (MinHash); their sets are compared exactly before anything is linked, large groups in tiles and with a few
+members first, so that copies of one text cost no more than their number.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ RADIUS = 4
 PIVOTS = 32
 #: Fingerprints of a group that one task compares with each other; larger groups are cut into tiles of this size.
 TILE = 1024
+#: Members of a large group of sets with which all others are compared first.
+LEADERS = 8
 #: Pairs that one step holds.
 PAIRS = 1 << 20
 #: Bands, and minima in each, by which similar sets meet: 0.998 of the pairs at a similarity of 0.8 share a band, more above.
@@ -275,8 +278,11 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(band.tobytes(), SEED) for band in least.reshape(BANDS, BAND)], dtype=np.uint64).view(np.int64)
 
 
-def similar_pairs(sets: list[np.ndarray], least: float, tile: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Positions (i, j) of a spanning forest of the pairs of sets with a Jaccard similarity of ``least``; with ``tile``, of pairs of different tiles."""
+def similar_pairs(sets: list[np.ndarray], least: float, group: np.ndarray | None = None, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions (i, j) of a spanning forest of the pairs of sets with a Jaccard similarity of ``least``.
+
+    ``group``: sets of one number are known to be connected.  ``probe``: of each pair, one at least must be one of these positions.
+    """
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     _, names, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -284,13 +290,12 @@ def similar_pairs(sets: list[np.ndarray], least: float, tile: np.ndarray | None
     common = often[names] > 1
     names, owner = names[common], owner[common]
     bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
-    lead, out = np.arange(len(sets)), []
+    lead, out = np.arange(len(sets)) if group is None else group.copy(), []
     mark = np.zeros(len(often), dtype=bool)
-    for i in range(len(sets) - 1):
+    for i in (range(len(sets) - 1) if probe is None else probe.tolist()):
         open_ = (lead != lead[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]) - 1e-9)
-        open_[: i + 1] = False
-        if tile is not None:
-            open_ &= tile != tile[i]
+        if probe is None:
+            open_[: i + 1] = False
         if not open_.any():
             continue
         mine = names[bounds[i] : bounds[i + 1]]
@@ -334,38 +339,64 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, shingles binary")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """Keys a, b of pairs of similar sets whose components are those of all similar pairs that share a band.
-
-    Bands of the same members are compared once.  Groups over ``TILE`` are cut into tiles, and a pair of tiles is compared at a time.
-    """
+def _band_groups(rows: DataFrame) -> DataFrame:
+    """key, band, value, tiles and tile of the members of each group of keys that share a band; groups of the same members once."""
     dealt = rows.select("key", F.posexplode("bands").alias("band", "value")).distinct()
     groups = dealt.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members")).where("n > 1")
     once = groups.groupBy("n", "members").agg(F.min(F.struct("band", "value")).alias("group"))
     once = durable(once.select("group.band", "group.value", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    # Few groups are large, and their members stay where they are.
-    marked = dealt.join(F.broadcast(once.where("tiles > 1")), ["band", "value"], "left")
-    small = marked.where("tiles IS NULL").drop("tiles").join(once.where("tiles = 1"), ["band", "value"])
-    placed = marked.where("tiles IS NOT NULL").unionByName(small).withColumn("tile", F.pmod(F.xxhash64("key", F.lit(3)), F.col("tiles")).cast("int"))
-    placed = durable(placed)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("lo"), F.greatest(t, F.col("tile")).alias("hi")))
-    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TILE)
-    cells = placed.withColumn("cell", F.explode(pairs)).select("key", "tile", "band", "value", "cell.lo", "cell.hi")
-    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("band", "value", "lo", "hi"), F.lit(buckets)))
-    chosen = rows.groupBy("key").agg(F.min("__row").alias("__row")).join(placed.select("key").distinct(), "key", "left_semi")
-    sets = _sets(docs.select("__row", "text").join(chosen, "__row"), width)
+    # One group may hold a third of all keys.
+    placed = salted_join(dealt, once, ["band", "value"], by="key")
+    return durable(placed.withColumn("tile", F.pmod(F.xxhash64("key", F.lit(3)), F.col("tiles")).cast("int")))
+
+
+def _compared_sets(cells: DataFrame, sets: DataFrame, buckets: int, least: float) -> DataFrame:
+    """Linked keys a, b; ``cells``: key, band, value, lo, hi, component (null: none known) and probe of the members of each cell."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        for (_, _, lo, hi), cell in rows.groupby(["band", "value", "lo", "hi"], sort=False):
-            cell = cell.sort_values("key")
-            key = cell["key"].to_numpy()
+        for _, cell in rows.groupby(["band", "value", "lo", "hi"], sort=False):
+            cell = cell.sort_values(["key", "probe"], ascending=[True, False]).drop_duplicates("key")
+            key, probe = cell["key"].to_numpy(), cell["probe"].to_numpy()
             if len(key) > 1:
-                found = similar_pairs([np.frombuffer(x, np.uint64) for x in cell["shingles"]], least, cell["tile"].to_numpy() if lo != hi else None)
+                known = np.unique(cell["component"].to_numpy(), return_inverse=True)[1]
+                found = similar_pairs([np.frombuffer(x, np.uint64) for x in cell["shingles"]], least, known, None if probe.all() else np.flatnonzero(probe))
                 out += [(key[i], key[j]) for i, j in found]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return cells.join(sets, "key").groupBy("bucket").applyInPandas(compare, "a long, b long")
+    dealt = cells.withColumn("bucket", F.pmod(F.xxhash64("band", "value", "lo", "hi"), F.lit(buckets)))
+    return dealt.join(sets, "key").groupBy("bucket").applyInPandas(compare, "a long, b long")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Keys a, b of pairs of similar sets whose components are those of all similar pairs that share a band.
+
+    Groups over ``TILE`` are cut into tiles.  First each tile is compared in itself and with the ``LEADERS`` of its group, which
+    connects a group of copies however large it is.  Then whatever a group holds outside its largest component is compared with all members
+    of the group in other components; pairs that are connected already are left out.
+    """
+    placed = _band_groups(rows)
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TILE)
+    chosen = rows.groupBy("key").agg(F.min("__row").alias("__row")).join(placed.select("key").distinct(), "key", "left_semi")
+    sets = _sets(docs.select("__row", "text").join(chosen, "__row"), width)
+    large, cell = placed.where("tiles > 1"), ["key", "band", "value", "lo", "hi", "component", "probe"]
+    leaders = large.groupBy("band", "value", "tiles", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(LEADERS))).agg(F.min("key").alias("key"))
+    leaders = leaders.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    members = placed.select("key", "band", "value", "tile").unionByName(leaders.select("key", "band", "value", "tile"))
+    first = _compared_sets(members.select("key", "band", "value", F.col("tile").alias("lo"), F.col("tile").alias("hi"), F.col("key").alias("component"), F.lit(True).alias("probe")), sets, buckets, least)
+    if large.isEmpty():
+        return first
+    first = durable(first)
+    known = components(first).select(F.col("id").alias("key"), "component")
+    named = large.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    sizes = named.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("band", "value").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    several = several.withColumn("rests", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int")).drop("all", "most")
+    named = durable(salted_join(named, several, ["band", "value"], by="key"))
+    # A cell is a tile of the rest and a tile of all members.
+    rest = named.where("component <> largest").withColumns({"lo": F.pmod(F.xxhash64("key", F.lit(7)), F.col("rests")).cast("int"), "hi": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)), "probe": F.lit(True)})
+    every = named.withColumns({"lo": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "hi": F.col("tile"), "probe": F.lit(False)})
+    return first.unionByName(_compared_sets(rest.select(cell).unionByName(every.select(cell)), sets, buckets, least))
 
 
 def keep_one_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
