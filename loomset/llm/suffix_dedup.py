@@ -40,6 +40,8 @@ WINDOW = MIN_BYTES - KMER + 1
 #: Bytes of text in a block, about; and bytes of a text that one pass handles.
 BLOCK_BYTES = 4 << 20
 PASS_BYTES = 2 << 20
+#: Bytes of text that one task of a large table handles, block by block.
+TASK_BYTES = 64 << 20
 #: Different stretches of one minimizer that one bucket takes; the windows of more are dealt by their own hashes.
 MOST_STRINGS = 4096
 _NO_ID = -(1 << 63)
@@ -428,8 +430,8 @@ def _apply(buckets: int, columns: list[str]) -> Callable[[tuple, pa.Table, pa.Ta
     return run
 
 
-def _blocks(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """__id, __text, __block and __c0, __c1 ... for ``columns`` of every row, and the number of buckets."""
+def _blocks(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int, int]:
+    """__id, __text, __block and __c0, __c1 ... for ``columns`` of every row, the number of buckets, and the least number of tasks."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -438,19 +440,27 @@ def _blocks(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     # Rows without an id are spread by their text.
     block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int").alias("__block")
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("__id"), F.col("text").cast("binary").alias("__text"), block]
-    return docs.select(*own, *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)]), buckets
+    return docs.select(*own, *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)]), buckets, -(-size // TASK_BYTES)
+
+
+def _dealer(spark: SparkSession, tasks: int) -> Callable[[DataFrame, str], DataFrame]:
+    """Deals rows by a key into as many tasks as the table needs, where the session's shuffle partitions would be too few."""
+    enough = tasks <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return lambda df, key: df if enough else df.repartition(tasks, key)
 
 
 def _exchanged(docs: DataFrame, columns: list[str], every: bool, most: int) -> tuple[DataFrame, DataFrame, int]:
-    rows, buckets = _blocks(docs, columns)
+    rows, buckets, tasks = _blocks(docs, columns)
+    deal = _dealer(docs.sparkSession, tasks)
+    rows = deal(rows, "__block")
     by_block = rows.groupBy("__block")
     told = by_block.applyInPandas(_announce(buckets), "bucket int, block int, codes binary, several binary, more binary")
-    bits = told.groupBy("bucket").applyInPandas(_shared(most), "block int, bucket int, bits binary, crowded binary")
-    sent = by_block.cogroup(bits.groupBy("block")).applyInPandas(_send(buckets), "bucket int, block int, strings binary, lengths binary, first binary, last binary")
-    found = sent.groupBy("bucket").applyInPandas(_maximal_repeats(every), "block int, bucket int, string binary, offset binary, length binary, smallest binary, repeat binary")
+    bits = deal(told, "bucket").groupBy("bucket").applyInPandas(_shared(most), "block int, bucket int, bits binary, crowded binary")
+    sent = by_block.cogroup(deal(bits, "block").groupBy("block")).applyInPandas(_send(buckets), "bucket int, block int, strings binary, lengths binary, first binary, last binary")
+    found = deal(sent, "bucket").groupBy("bucket").applyInPandas(_maximal_repeats(every), "block int, bucket int, string binary, offset binary, length binary, smallest binary, repeat binary")
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("string", "offset", "length", "smallest", "repeat")]
     answers = bits.select("block", "bucket", "bits", "crowded", *nothing).unionByName(found.withColumns({c: F.lit(None).cast("binary") for c in ("bits", "crowded")}))
-    return rows, answers, buckets
+    return rows, deal(answers, "block"), buckets
 
 
 def _doc_id() -> F.Column:

@@ -131,9 +131,10 @@ def firsts_of_similar(rows):
     return sorted((min(g, key=lambda i: (i is None, i)) for g in groups.values()), key=lambda i: (i is None, i))
 
 
-@pytest.mark.parametrize("tile", [3, 1024])
-def test_near_copies_by_similarity(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "leaders"), [(2, 1), (3, 8), (1024, 8)])
+def test_near_copies_by_similarity(spark, monkeypatch, tile, leaders):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
     r, texts = random.Random(6), []
     for i in range(12):
         base = prose(f"n{i}", 150)
@@ -150,6 +151,26 @@ def test_near_copies_by_similarity(spark, monkeypatch, tile):
     assert sorted(i for i, _ in simhash.keep_one_similar(docs).collect()) == firsts_of_similar(rows)
 
 
+def test_a_large_group_of_near_copies_costs_its_number(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 8)
+    base, texts = prose("h", 200).split(), []
+    for i in range(300):
+        words = list(base)
+        words[i % 200] = f"edit{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*base[:120], *prose(f"o{i}", 40).split()]) for i in range(5)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed, dealt = [], []
+    groups, compared = simhash._band_groups, simhash._compared_sets
+    monkeypatch.setattr(simhash, "_band_groups", lambda r: placed.append(groups(r)) or placed[-1])
+    monkeypatch.setattr(simhash, "_compared_sets", lambda cells, *a: dealt.append(cells) or compared(cells, *a))
+    assert sorted(i for i, _ in simhash.keep_one_similar(docs).collect()) == firsts_of_similar(rows)
+    n = placed[0].count()
+    # All pairs of tiles would take each member 38 times.
+    assert n > 1000 and len(dealt) == 2 and dealt[0].count() <= 2 * n + 1000 and dealt[1].count() <= 4 * n
+
+
 def test_recall_of_bands():
     r = random.Random(2)
     met, pairs = 0, 0
@@ -207,9 +228,11 @@ def digests(df):
     return sorted((-(1 << 63) if r.doc_id is None else r.doc_id, len(r.text or b""), sum(s.length for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in df.collect())
 
 
-def test_suffix_dedup_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("task", [2000, 1 << 26])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, task):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "PASS_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", task)
     r = random.Random(8)
     base = [prose(i, 70) for i in range(6)]
     rows = []
