@@ -28,6 +28,8 @@ EM_STEPS = 8
 
 #: Labelled rows of each language that the fit uses, the first by a hash of doc_id; all of them, if fewer.  A rare language keeps all of its rows.
 FIT_ROWS = 5000
+#: Parts of each language from which these are chosen.
+PARTS = 16
 #: A segment's log-likelihood is scaled by this, since overlapping n-grams repeat each other's evidence.
 TEMPER = 0.3
 #: Name of the part of a text that no learned language explains; sorts after all others.
@@ -142,8 +144,12 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).select("doc_id", "lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
-    chosen = known.withColumn("place", place).where(F.col("place") <= fit_rows).select("doc_id", "lang")
+    order = [F.xxhash64(F.col("doc_id").cast("string")), "doc_id"]
+    # A language may have most rows: the first rows of each part of it come first, so at most ``PARTS`` times ``fit_rows`` meet in a task.
+    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+    for within in (["lang", "part"], ["lang"]):
+        known = known.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("place") <= fit_rows)
+    chosen = known.select("doc_id", "lang")
     chosen = docs.where("text IS NOT NULL").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
