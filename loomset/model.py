@@ -32,11 +32,17 @@ class Reference:
 
 @dataclass(frozen=True)
 class JoinPredicate:
-    """A condition over tuples of several relations; the predicate takes one column proxy for each."""
+    """A condition over tuples of several relations; the predicate takes one column proxy for each.
+
+    ``equal`` and ``above`` hold the two sides of a comparison of two relations, each a function of its own tuple, where it was given
+    so; joins can then do without looking at pairs that the comparison excludes.
+    """
 
     relations: tuple[str, ...]
     predicate: Callable[..., Column]
     description: str | None = None
+    equal: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None
+    above: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None
 
 
 @dataclass(frozen=True)

@@ -69,24 +69,36 @@ class drop_reference(Operator):
 
 
 class add_join_predicate(Operator):
-    """A condition over tuples of the named relations, which ``join`` applies where all of them are present."""
+    """A condition over tuples of the named relations, which ``join`` applies where all of them are present.
+
+    A comparison of two relations can be given by its sides, a function of each relation's tuple: ``equal``, or ``above`` (the first is
+    larger than the second).  Joins then pass over pairs that it excludes; a ``predicate`` is tried on each pair.
+    """
 
     params = ("relations", "description")
 
-    def __init__(self, source: Any, *relations: str, predicate: Callable[..., Any], description: str | None = None):
+    def __init__(self, source: Any, *relations: str, predicate: Callable[..., Any] | None = None, equal: Any = None, above: Any = None, description: str | None = None):
         super().__init__(source)
         if not relations:
             raise ValueError("at least one relation is needed")
-        if not callable(predicate):
+        if sum(x is not None for x in (predicate, equal, above)) != 1:
+            raise ValueError("give one of predicate, equal and above")
+        if predicate is not None and not callable(predicate):
             raise TypeError("the predicate must be callable")
-        self.relations, self.predicate, self.description = relations, predicate, description
+        sides = equal or above
+        if sides is not None:
+            if len(set(relations)) != 2 or len(relations) != 2 or len(sides) != 2 or not all(map(callable, sides)):
+                raise TypeError("a comparison takes two relations and a callable for each")
+            first, second = sides
+            predicate = (lambda a, b: first(a) == second(b)) if equal else (lambda a, b: first(a) > second(b))
+        self.relations, self.predicate, self.description, self.equal, self.above = relations, predicate, description, equal and tuple(equal), above and tuple(above)
 
     def compute(self) -> Database:
         database = database_of(self.input)
         for name in self.relations:
             if name not in database.relations:
                 raise ValueError(f"no relation {name!r}")
-        return replace(database, join_predicates=(*database.join_predicates, JoinPredicate(self.relations, self.predicate, self.description)))
+        return replace(database, join_predicates=(*database.join_predicates, JoinPredicate(self.relations, self.predicate, self.description, self.equal, self.above)))
 
 
 class drop_join_predicate(Operator):

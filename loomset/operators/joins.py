@@ -8,11 +8,15 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import Database, Reference, Relation
+from ..model import Database, JoinPredicate, Reference, Relation
 from ..plans.graph import ReferenceGraph
 from .base import Operator, database_of
 
+#: Ranges of values into which a join over an inequality deals its rows.
+RANGES = 32
+
 
 def _matching(left: DataFrame, right: DataFrame, left_columns: tuple[str, ...], right_columns: tuple[str, ...], how: str = "left_semi") -> DataFrame:
     """Rows of left with (or without) a partner; only the key columns of the right side travel."""
@@ -114,15 +118,72 @@ def _join_order(graph: ReferenceGraph, group: list[str], start: str) -> list[str
 def _conditions(graph: ReferenceGraph, name: str, present: list[str], column: Any) -> Column | None:
     """Equality over every reference between ``name`` and the relations joined so far."""
     found = None
+    for a, b in _referring(graph, name, present, column):
+        found = a == b if found is None else found & (a == b)
+    return found
+
+
+def _referring(graph: ReferenceGraph, name: str, present: list[str], column: Any) -> list[tuple[Column, Column]]:
+    """Pairs of columns, of the relations joined so far and of ``name``, that its references hold equal."""
+    found = []
     for edge in graph.touching(name):
         other = edge.target if edge.source == name else edge.source
         if other in present:
             for a, b in zip(edge.columns, edge.key, strict=True):
-                equal = column(edge.source, a) == column(edge.target, b)
-                found = equal if found is None else found & equal
+                pair = column(edge.source, a), column(edge.target, b)
+                found.append(pair[::-1] if edge.source == name else pair)
     return found
 
 
+def _cuts(value: str, kind: T.DataType, n: int) -> Column:
+    """Aggregate: values in order that cut those of column ``value`` into about ``n`` equal ranges; none for types without quantiles."""
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)):
+        return F.array().cast(T.ArrayType(kind))
+    known = F.when(~F.isnan(value), F.col(value)) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(value)
+    return F.percentile_approx(known, [i / n for i in range(1, n)])
+
+
+def _range(cuts: str, value: str) -> Column:
+    """Number of cuts at or below a value; a larger value is in no lower range."""
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(value))), F.lit(0))
+
+
+def _in_ranges(high: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the ranges, __h and __l, in which those meet whose __high is above __low."""
+    low = low.crossJoin(F.broadcast(high.agg(F.max("__high").alias("__most")))).where("__low < __most").drop("__most")
+    ranges = low.agg(F.min("__low").alias("__least"), _cuts("__low", low.schema["__low"].dataType, RANGES).alias("__cuts"))
+    high = high.crossJoin(F.broadcast(ranges)).where("__high > __least").withColumn("__h", F.explode(F.sequence(F.lit(0), _range("__cuts", "__high")))).drop("__least", "__cuts")
+    low = low.crossJoin(F.broadcast(ranges)).withColumn("__l", _range("__cuts", "__low")).drop("__least", "__cuts")
+    return high, low
+
+
+def _range_join(left: DataFrame, right: DataFrame, equal: list[tuple[Column, Column]], sides: tuple[Column, Column], high_left: bool, rest: Column | None) -> DataFrame:
+    """Inner join over equalities and one inequality, ``sides[0] > sides[1]``; ``high_left``: the larger side is of ``left``.
+
+    The rows of the smaller side are dealt into ranges of their values, those of the larger side into each range up to their own, so
+    rows meet where the inequality holds or both are in one range: the pairs looked at are those of the result and about one in
+    ``RANGES`` more.  Rows beyond the other side's extremes are left out first.  The number of tasks is fixed, as few
+    bytes of input may give many pairs.
+    """
+    high, low = (left, right) if high_left else (right, left)
+    place = 0 if high_left else 1
+    high = high.select("*", sides[0].alias("__high"), *[pair[place].alias(f"__h{i}") for i, pair in enumerate(equal)])
+    low = low.select("*", sides[1].alias("__low"), *[pair[1 - place].alias(f"__l{i}") for i, pair in enumerate(equal)])
+    for i in range(len(equal)):
+        high, low = high.where(F.col(f"__h{i}").isNotNull()), low.where(F.col(f"__l{i}").isNotNull())
+    high, low = _in_ranges(high, low)
+    keys = [[f"__{side}", *[f"__{side}{i}" for i in range(len(equal))]] for side in "hl"]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    high, low = high.repartition(tasks, *keys[0]), low.repartition(tasks, *keys[1])
+    on = F.col("__high") > F.col("__low")
+    for a, b in zip(*keys, strict=True):
+        on &= F.col(a) == F.col(b)
+    if rest is not None:
+        on &= rest
+    left, right = (high, low) if high_left else (low, high)
+    return left.join(right, on).drop("__high", "__low", *keys[0], *keys[1])
+
+
 def _decomposed(database: Database, graph: ReferenceGraph, group: list[str], persist: bool) -> dict[str, DataFrame]:
     """Join of the key columns over all edges, then each relation by its keys in it."""
     start = next((n for n in graph.pure_sources() if n in group), group[0])
@@ -154,8 +215,8 @@ class join(Operator):
     """Inner join of all relations of a database over its references and join predicates.
 
     A row has a struct for each relation; the row number is the key.  Graphs may have several sources and several paths to a
-    relation, which must then lead to the same tuple (bind a relation under two names for separate roles).  Relations
-    without a connection are an error unless ``cross=True``.  Without ``numbered`` the key is an id that grows but has gaps, and no
+    relation, which must then lead to the same tuple (bind a relation under two names for separate roles).  A join predicate given as
+    ``above`` is joined by ranges of its values.  Relations without a connection are an error unless ``cross=True``.  Without ``numbered`` the key is an id that grows but has gaps, and no
     global order is made.
     """
 
@@ -192,6 +253,10 @@ class join(Operator):
                 on = _conditions(graph, name, present[:-1], column)
                 ready = [p for p in pending if set(p.relations) <= set(present)]
                 pending = [p for p in pending if p not in ready]
+                ranged = next((p for p in ready if p.above is not None and name in p.relations), None)
+                if ranged is not None:
+                    df = self._ranged(df, part, name, ranged, _referring(graph, name, present[:-1], column), [p for p in ready if p is not ranged])
+                    continue
                 for p in ready:
                     extra = p.predicate(*[F.col(f"`{r}`") for r in p.relations])
                     on = extra if on is None else on & extra
@@ -208,6 +273,20 @@ class join(Operator):
             df = df.withColumn("row", F.monotonically_increasing_id())
         return Joined(df, ("row",), joined=bound)
 
+    def _ranged(self, df: DataFrame, part: DataFrame, name: str, ranged: JoinPredicate, equal: list[tuple[Column, Column]], others: list[JoinPredicate]) -> DataFrame:
+        """``df`` joined with the relation ``name`` in ``part``, with whatever else holds between them as equalities or as conditions on pairs."""
+        rest = None
+        for p in others:
+            sides = [F.col(f"`{r}`") for r in p.relations]
+            if p.equal is not None and name in p.relations:
+                pair = tuple(f(side) for f, side in zip(p.equal, sides, strict=True))
+                equal.append(pair if p.relations[1] == name else pair[::-1])
+            else:
+                extra = p.predicate(*sides)
+                rest = extra if rest is None else rest & extra
+        high, low = (f(F.col(f"`{r}`")) for f, r in zip(ranged.above, ranged.relations, strict=True))
+        return _range_join(df, part, equal, (high, low), ranged.relations[1] == name, rest)
+
 
 def _connected(groups: list[list[str]], linked: set[frozenset]) -> bool:
     have, rest = set(groups[0]), groups[1:]

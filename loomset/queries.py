@@ -660,8 +660,8 @@ SELECT a.c_custkey AS richer, b.c_custkey AS poorer FROM customer a JOIN custome
 def self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = database(spark, sf_dir, "customer")["customer"]
     db = Database({"a": customer, "b": customer.copy()})
-    db = add_join_predicate(db, "a", "b", predicate=lambda a, b: a.c_nationkey == b.c_nationkey).result
-    db = add_join_predicate(db, "a", "b", predicate=lambda a, b: a.c_acctbal > b.c_acctbal + 9000).result
+    db = add_join_predicate(db, "a", "b", equal=(lambda a: a.c_nationkey, lambda b: b.c_nationkey)).result
+    db = add_join_predicate(db, "a", "b", above=(lambda a: a.c_acctbal, lambda b: b.c_acctbal + 9000)).result
     return join(db).result.df.select(F.col("a.c_custkey").alias("richer"), F.col("b.c_custkey").alias("poorer"))
 
 

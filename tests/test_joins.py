@@ -166,3 +166,38 @@ def test_references_by_operator(spark):
     db = add_reference(db, source="a", ref_key="b", target="b", columns="b_key").result
     assert keys(db["a"].where(Gt("b.k", 0) if False else None, b__k=1)) == {1}
     assert isinstance(db, Database) and join(db).result.df.count() == 1
+
+
+def comparable(spark):
+    """Two relations with shared, missing and odd values."""
+    odd = [None, float("nan"), float("inf"), -0.0, 0.0]
+    a = [(i, None if i % 11 == 0 else i % 3, odd[i % 5] if i % 7 == 0 else float(i * 37 % 50)) for i in range(90)]
+    b = [(i, None if i % 13 == 0 else i % 4, odd[i % 5] if i % 9 == 0 else float(i * 29 % 50)) for i in range(110)]
+    return graph(spark, {"a": ("k long, g int, x double", a), "b": ("k long, h int, y double", b)}, [])
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_declared_comparisons_join_as_predicates_do(spark, turned):
+    names = ("b", "a") if turned else ("a", "b")
+    db = comparable(spark)
+    loose = add_join_predicate(add_join_predicate(db, "a", "b", predicate=lambda a, b: a.g == b.h), *names, predicate=(lambda b, a: b.y > a.x) if turned else (lambda a, b: a.x > b.y))
+    tight = add_join_predicate(add_join_predicate(db, "a", "b", equal=(lambda a: a.g, lambda b: b.h)), *names, above=(lambda b: b.y, lambda a: a.x) if turned else (lambda a: a.x, lambda b: b.y))
+    pairs = lambda db: sorted(tuple(r) for r in join(db).result.df.select("a.k", "b.k").collect())
+    assert pairs(tight) == pairs(loose) and len(pairs(loose)) > 500
+    for wrong in ({}, {"equal": (len, len), "above": (len, len)}):
+        with pytest.raises(ValueError):
+            add_join_predicate(db, "a", "b", **wrong)
+    with pytest.raises(TypeError):
+        add_join_predicate(db, "a", equal=(len, len))
+
+
+def test_a_join_over_an_inequality_looks_at_few_pairs_besides_its_result(spark):
+    from pyspark.sql import functions as F
+
+    from loomset.operators.joins import _in_ranges
+
+    rows = spark.range(3000).select(((F.col("id") * 7919) % 3000).cast("double").alias("x"))
+    high, low = _in_ranges(rows.select(F.col("x").alias("__high")), rows.select((F.col("x") + 2000).alias("__low")))
+    met = high.join(low, F.col("__h") == F.col("__l")).cache()
+    found, want = met.where("__high > __low").count(), 999 * 1000 // 2
+    assert found == want and met.count() < 1.1 * want
