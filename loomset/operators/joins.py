@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -288,6 +288,86 @@ class join(Operator):
         return _range_join(df, part, equal, (high, low), ranged.relations[1] == name, rest)
 
 
+class partner_counts(Operator):
+    """How many tuples of ``partner`` each tuple of ``relation`` joins with; tuples without one are left out.
+
+    What the join of the two would give, grouped by ``by`` (the relation's key by default) and counted, but without its pairs, so that
+    the work grows with the rows.  All that holds between the two must be references and join predicates given as ``equal`` or
+    ``above``, at most one of these; ``join`` takes any other.  With equalities only, the partners are counted for each value first.  With an
+    inequality, the values of both sides are put in order and the partners summed over them, within ranges of values and over the
+    ranges before, so that no task holds all tuples of one equality.
+    """
+
+    params = ("relation", "partner", "by", "name")
+
+    def __init__(self, source: Any, relation: str, partner: str, *, by: tuple[str, ...] = (), name: str = "count"):
+        super().__init__(source)
+        self.relation, self.partner, self.by, self.name = relation, partner, tuple(by), name
+
+    def compute(self) -> Relation:
+        database = database_of(self.input)
+        for name in (self.relation, self.partner):
+            if name not in database.relations:
+                raise ValueError(f"no relation {name!r}")
+        bound = database.bound()
+        column = lambda name, c: F.col(f"`{name}`").getField(c)
+        graph = ReferenceGraph.of(database)
+        equal, above = _referring(graph, self.partner, [self.relation], column), None
+        for p in database.join_predicates:
+            if not {self.relation, self.partner} & set(p.relations):
+                continue
+            if set(p.relations) != {self.relation, self.partner} or p.equal is None and (p.above is None or above is not None):
+                raise ValueError("only equalities and one inequality between the two relations can be counted; join takes the others")
+            sides = [f(F.col(f"`{r}`")) for f, r in zip(p.equal or p.above, p.relations, strict=True)]
+            pair = tuple(sides if p.relations[0] == self.relation else sides[::-1])
+            if p.equal is not None:
+                equal.append(pair)
+            else:
+                above = pair, p.relations[0] == self.partner
+        if not equal and above is None:
+            raise ValueError(f"{self.relation!r} and {self.partner!r} are not connected")
+        by = self.by or bound[self.relation].key
+        if not by:
+            raise ValueError(f"{self.relation!r} has no key; by names what to count for")
+        on = [f"__e{i}" for i in range(len(equal))]
+        whole = []
+        for place, name in enumerate((self.relation, self.partner)):
+            part = bound[name].expanded()
+            part = part.select(F.struct(*[F.col(f"`{c}`") for c in part.columns]).alias(name))
+            keys = [pair[place].alias(k) for k, pair in zip(on, equal, strict=True)]
+            value = [] if above is None else [above[0][place].alias("__v")]
+            kept = [column(name, c).alias(c) for c in by] if place == 0 else []
+            side = part.select(*kept, *keys, *value)
+            for c in (*on, *(["__v"] if value else [])):
+                side = side.where(F.col(c).isNotNull())
+            whole.append(side)
+        rows, partners = whole
+        if above is None:
+            counts = partners.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+        else:
+            counts, on = _beyond(rows.select(*on, "__v"), partners, on, larger=above[1]), [*on, "__v"]
+        found = rows.join(counts, on).where("__n > 0").groupBy(*[F.col(f"`{c}`") for c in by]).agg(F.sum("__n").alias(self.name))
+        return Relation(found, tuple(by))
+
+
+def _beyond(rows: DataFrame, partners: DataFrame, on: list[str], larger: bool) -> DataFrame:
+    """For each ``on`` and value __v of ``rows``: __n, the number of partners of that ``on`` whose value is larger (or smaller)."""
+    points = partners.withColumn("__one", F.lit(1)).unionByName(rows.withColumn("__one", F.lit(0)))
+    points = points.groupBy(*on, "__v").agg(F.sum("__one").alias("__own"))
+    ranges = points.agg(_cuts("__v", points.schema["__v"].dataType, 2 * RANGES).alias("__cuts"))
+    points = points.crossJoin(F.broadcast(ranges)).withColumn("__range", _range("__cuts", "__v")).drop("__cuts")
+
+    def before(sums: str, place: str, by: list[Any]) -> Column:
+        window = Window.partitionBy(*by).orderBy(F.desc(place) if larger else F.asc(place)).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(sums).over(window), F.lit(0))
+
+    # One row for each range of an equality.
+    sums = points.groupBy(*on, "__range").agg(F.sum("__own").alias("__sum"))
+    sums = sums.select(*on, "__range", before("__sum", "__range", on or [F.lit(0)]).alias("__base"))
+    inside = points.withColumn("__inside", before("__own", "__v", [*on, "__range"]))
+    return inside.join(sums, [*on, "__range"]).select(*on, "__v", (F.col("__base") + F.col("__inside")).alias("__n"))
+
+
 def _connected(groups: list[list[str]], linked: set[frozenset]) -> bool:
     have, rest = set(groups[0]), groups[1:]
     while rest:

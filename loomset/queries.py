@@ -13,7 +13,7 @@ from .model import Database, Relation, Relationship, Tensor
 from .operators.constraints import InSubset, MaxCount, SameAttributes, Schema, add_join_predicate, add_reference, delete, drop_join_predicate, drop_reference, insert, update
 from .operators.filters import filter_items, filter_items_scan_complement, filter_keys, filter_values
 from .operators.grouping import above_average, aggregate, cube, group_by, group_by_aggregate, partition, partition_by_aggregate
-from .operators.joins import cogroup, join, reference_blockers, reference_violations, semijoin, subdatabase
+from .operators.joins import cogroup, join, partner_counts, reference_blockers, reference_violations, semijoin, subdatabase
 from .operators.ranking import items_sorted_by, rank_by, subset
 from .operators.sets import intersect, minus, union, values_union
 from .operators.shapes import disaggregate, flatten, project, rename, transform, transform_items
@@ -668,9 +668,9 @@ def self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT s_suppkey, count(*) AS same FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey")
 def dropped_join_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark, sf_dir, "supplier", "customer")
-    same = add_join_predicate(db, "supplier", "customer", predicate=lambda s, c: s.s_nationkey == c.c_nationkey, description="same nation")
-    less = add_join_predicate(same, "supplier", "customer", predicate=lambda s, c: s.s_acctbal < c.c_acctbal, description="richer")
-    return group_by_aggregate(join(drop_join_predicate(less, description="richer")), "supplier.s_suppkey", same=Count()).result.df
+    same = add_join_predicate(db, "supplier", "customer", equal=(lambda s: s.s_nationkey, lambda c: c.c_nationkey), description="same nation")
+    less = add_join_predicate(same, "customer", "supplier", above=(lambda c: c.c_acctbal, lambda s: s.s_acctbal), description="richer")
+    return partner_counts(drop_join_predicate(less, description="richer"), "supplier", "customer", name="same").result.df
 
 
 @_query("""

@@ -201,3 +201,29 @@ def test_a_join_over_an_inequality_looks_at_few_pairs_besides_its_result(spark):
     met = high.join(low, F.col("__h") == F.col("__l")).cache()
     found, want = met.where("__high > __low").count(), 999 * 1000 // 2
     assert found == want and met.count() < 1.1 * want
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("equal", [False, True])
+@pytest.mark.parametrize("above", [False, True])
+def test_partners_are_counted_without_pairs(spark, turned, equal, above):
+    from pyspark.sql import functions as F
+
+    from loomset.operators.joins import partner_counts
+
+    db = comparable(spark)
+    if equal:
+        db = add_join_predicate(db, "b", "a", equal=(lambda b: b.h, lambda a: a.g)).result
+    if above:
+        db = (add_join_predicate(db, "b", "a", above=(lambda b: b.y, lambda a: a.x)) if turned else add_join_predicate(db, "a", "b", above=(lambda a: a.x, lambda b: b.y))).result
+    if not (equal or above):
+        with pytest.raises(ValueError):
+            partner_counts(db, "a", "b").result  # noqa: B018
+        return
+    for one, other in (("a", "b"), ("b", "a")):
+        want = join(db).result.df.groupBy(f"{one}.k").agg(F.count(F.lit(1)).alias("n")).collect()
+        counted = partner_counts(db, one, other, name="n").result
+        assert sorted(map(tuple, counted.df.select("k", "n").collect())) == sorted(map(tuple, want)) and len(want) > 50
+    opaque = add_join_predicate(db, "a", "b", predicate=lambda a, b: a.x + b.y > 0)
+    with pytest.raises(ValueError):
+        partner_counts(opaque, "a", "b").result  # noqa: B018
