@@ -279,9 +279,9 @@ def join_labels_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s_suppkey, count(*) AS richer FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal < c_acctbal GROUP BY s_suppkey""")
 def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark, sf_dir, "supplier", "customer")
-    same = add_join_predicate(db, "supplier", "customer", predicate=lambda s, c: s.s_nationkey == c.c_nationkey, description="same nation")
-    less = add_join_predicate(same, "supplier", "customer", predicate=lambda s, c: s.s_acctbal < c.c_acctbal)
-    return group_by_aggregate(join(less), "supplier.s_suppkey", richer=Count()).result.df
+    same = add_join_predicate(db, "supplier", "customer", equal=(lambda s: s.s_nationkey, lambda c: c.c_nationkey), description="same nation")
+    less = add_join_predicate(same, "customer", "supplier", above=(lambda c: c.c_acctbal, lambda s: s.s_acctbal))
+    return partner_counts(less, "supplier", "customer", name="richer").result.df
 
 
 @_query("""
