@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import AggregationFunction
+from ..functions.aggregates import AggregationFunction, SlicedAggregation
 from ..functions.paths import Paths, column_of
 from ..model import Database, Partitioned, Relation
 from .base import Operator, relation_of
@@ -26,6 +26,28 @@ def _columns(paths: Paths, aggregates: Mapping[str, Any]) -> list[Column]:
     return out
 
 
+def _aggregated(paths: Paths, keys: list[Column], names: list[str], aggregates: Mapping[str, Any]) -> DataFrame:
+    """``aggregates`` of the groups of ``keys``, called ``names``; those of slices are made on their own and joined."""
+    sliced = {n: a for n, a in aggregates.items() if isinstance(a, SlicedAggregation)}
+    plain = _columns(paths, {n: a for n, a in aggregates.items() if n not in sliced})
+    values = {n: paths.column(a.attribute) for n, a in sliced.items()}
+    if not sliced:
+        return paths.df.groupBy(*keys).agg(*plain)
+    df = paths.df.groupBy(*keys).agg(*plain) if plain else None
+    own = [f"__g{i}" for i in range(len(names))]
+    for name, a in sliced.items():
+        rows = paths.df.select(*[k.alias(o) for k, o in zip(keys, own, strict=True)], values[name].alias("__value"))
+        side = a.slices(rows, own, "__value", "__made").groupBy(*own).agg(a.merged("__made").alias(name))
+        if df is None:
+            df = side.select(*[F.col(o).alias(n) for o, n in zip(own, names, strict=True)], F.col(f"`{name}`"))
+        elif names:
+            on = [F.col(f"`{n}`").eqNullSafe(F.col(o)) for n, o in zip(names, own, strict=True)]
+            df = df.join(side, on, "inner").drop(*own)
+        else:
+            df = df.join(side, F.lit(True), "left")
+    return df.select(*[F.col(f"`{n}`") for n in (*names, *aggregates)])
+
+
 class aggregate(Operator):
     """One tuple of aggregates over all items.
 
@@ -43,10 +65,9 @@ class aggregate(Operator):
             return self.input.with_relations({n: aggregate(r, strict=self.strict, **self.aggregates).result for n, r in self.input.bound().items()}, references=())
         relation = relation_of(self.input).materialised()
         paths = Paths(relation)
-        columns = _columns(paths, self.aggregates)
         if self.strict and not relation.df.limit(1).count():
             raise ValueError("an aggregate of an empty relation")
-        return Relation(paths.df.agg(*columns), (), relation.name)
+        return Relation(_aggregated(paths, [], [], self.aggregates), (), relation.name)
 
 
 𝜞 = aggregate
@@ -66,10 +87,9 @@ class group_by_aggregate(Operator):
     def compute(self) -> Relation:
         relation = relation_of(self.input).materialised()
         paths = Paths(relation)
-        columns = _columns(paths, self.aggregates)
         names = [_last(k) if k not in relation.df.columns else k for k in self.keys]
         keys = [paths.column(k).alias(n) for k, n in zip(self.keys, names, strict=True)]
-        return Relation(paths.df.groupBy(*keys).agg(*columns), tuple(names), relation.name)
+        return Relation(_aggregated(paths, keys, names, self.aggregates), tuple(names), relation.name)
 
 
 def _last(path: str) -> str:
@@ -88,9 +108,8 @@ class partition_by_aggregate(Operator):
     def compute(self) -> Relation:
         relation = relation_of(self.input).materialised()
         paths = Paths(relation)
-        columns = _columns(paths, self.aggregates)
         key = column_of(relation, paths, self.partitioning_function, kind=self.key_type).alias("partition")
-        return Relation(paths.df.groupBy(key).agg(*columns), ("partition",), relation.name)
+        return Relation(_aggregated(paths, [key], ["partition"], self.aggregates), ("partition",), relation.name)
 
 
 class partition(Operator):

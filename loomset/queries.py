@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.aggregates import AggregationFunction, Avg, Count, Max, Median, Min, Sum
+from .functions.aggregates import Avg, Count, Max, Median, Min, SlicedAggregation, Sum
 from .functions.predicates import And, Eq, Gt, In, Like, Not, Or, Ref
 from .model import Database, Relation, Relationship, Tensor
 from .operators.constraints import InSubset, MaxCount, SameAttributes, Schema, add_join_predicate, add_reference, delete, drop_join_predicate, drop_reference, insert, update
@@ -627,7 +627,9 @@ def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT l_returnflag, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY l_returnflag")
 def aggregate_by_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spread = AggregationFunction(lambda values: float(max(values) - min(values)), "l_quantity", "double")
+    ends = lambda values: (min(values), max(values))
+    both = lambda parts: (min(lo for lo, _ in parts), max(hi for _, hi in parts))
+    spread = SlicedAggregation(ends, "l_quantity", "double", merge=both, finish=lambda ends: float(ends[1] - ends[0]))
     return group_by_aggregate(database(spark, sf_dir, "lineitem")["lineitem"], "l_returnflag", spread=spread).result.df
 
 

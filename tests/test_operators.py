@@ -215,3 +215,32 @@ def test_catalog_and_html(spark, tmp_path):
     assert "<script>alert" not in odd.to_html() and "&lt;script&gt;" in odd.to_html()
     db["users"].df.write.option("header", True).csv(str(tmp_path / "c"))
     assert len(catalog.read(spark, str(tmp_path / "c"), "ukey", format="csv", header="true")) == 3
+
+
+def test_a_python_aggregate_sees_slices_only(spark, monkeypatch):
+    from loomset.functions import aggregates as A
+    from loomset.operators.grouping import partition_by_aggregate
+
+    monkeypatch.setattr(A, "SLICE", 7)
+    rows = [(i, None if i % 5 == 0 else f"g{i % 3}", (i % 2, "x"), None if i % 4 == 0 or i % 3 == 1 else i * 0.5) for i in range(200)]
+    data = Relation(spark.createDataFrame(rows, "k long, g string, s struct<a: int, b: string>, v double").repartition(3), ("k",))
+
+    def some(values):
+        assert 0 < len(values) <= 7
+        return len(values), sum(values)
+
+    def all_of(parts):
+        return sum(n for n, _ in parts), sum(x for _, x in parts)
+
+    mean = A.SlicedAggregation(some, "v", "double", merge=all_of, finish=lambda made: made[1] / made[0])
+    for keys in (("g",), ("s",), ("g", "s")):
+        found = group_by_aggregate(data, *keys, n=Count(), mean=mean, want=Avg("v")).result.df.collect()
+        assert len(found) == data.df.select(*keys).distinct().count() and sum(r.n for r in found) == 200
+        assert all(r.mean == r.want or abs(r.mean - r.want) < 1e-9 for r in found)
+    assert any(r.mean is None for r in group_by_aggregate(data, "g", mean=mean).result.df.collect())
+    parts = partition_by_aggregate(data, partitioning_function=lambda i: i.key % 2, mean=mean, want=Avg("v")).result.df.collect()
+    assert len(parts) == 2 and all(abs(r.mean - r.want) < 1e-9 for r in parts)
+    whole = aggregate(data, want=Avg("v"), mean=mean).result.df.first()
+    assert abs(whole.mean - whole.want) < 1e-9
+    nothing = aggregate(data.with_df(data.df.where("k < 0")), n=Count(), mean=mean).result.df.collect()
+    assert [tuple(r) for r in nothing] == [(0, None)]
