@@ -26,7 +26,7 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of smallest doc_id: similarity of 0.8 or more in runs of five words."""
-    return simhash.keep_one_similar(docs, width=5, least=0.8)
+    return simhash.keep_one_near(docs, width=5, least=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

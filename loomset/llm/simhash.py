@@ -16,10 +16,14 @@ text of fewer than four words is one shingle.  Repeated rows are in one componen
 told apart by their fingerprints.  A row with a null doc_id keeps its fingerprint and gets the smallest doc_id of its component, null if
 that has none.
 
-``keep_one_similar`` serves the pipeline and links by similarity instead: texts whose sets of shingles have a Jaccard similarity of at
-least ``least``.  Fingerprints cannot find these: at 0.8 they differ in about ten bits.  Candidates are texts that agree in
+``keep_one_similar`` links by similarity instead: texts whose sets of shingles have a Jaccard similarity of at
+least ``least``.  At 0.8 fingerprints of 64 bits differ in about ten, too many for segments.  Candidates are texts that agree in
 all minima of a band (MinHash); their sets are compared exactly before anything is linked, large groups in tiles and with a few
 members first, so that copies of one text cost no more than their number.
+
+``keep_one_near`` keeps the same by SimHash: these texts have fingerprints of ``WIDE`` bits over their sets of shingles and meet where
+they agree on a block of a few bits.  The pairs of a block are tested by a table of distances to reference fingerprints and then
+on the bits; what passes forms groups, in which the sets are compared exactly as above.
 """
 
 from __future__ import annotations
@@ -53,6 +57,16 @@ PAIRS = 1 << 20
 #: Bands, and minima in each, by which similar sets meet: 0.998 of the pairs at a similarity of 0.8 share a band, more above.
 BANDS, BAND = 12, 4
 _MASKS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * BAND, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits of the fingerprints by which similar sets meet; at a similarity of 0.8 these differ in 39 bits on average, with a deviation of 6.
+WIDE = 256
+#: Most bits in which fingerprints of candidates differ; those of unrelated texts differ in 128, with a deviation of 8.
+WIDE_RADIUS = 64
+#: Members of a bucket that are its reference fingerprints.
+WIDE_PIVOTS = 4
+#: Share of pairs at the least similarity that agree on a block of bits; more so above it.
+MEET = 0.999
+#: Fingerprints that agree on a block by chance, about, and how many are taken for copies.
+BY_CHANCE, MOST = 256, 8192
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -309,6 +323,119 @@ def similar_pairs(sets: list[np.ndarray], least: float, group: np.ndarray | None
     return out
 
 
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """The bits of the fingerprint of a set of shingles: each set where over half of the mixed hashes set it."""
+    count = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(hashes), 8192):
+        x = hashes[lo : lo + 8192, None] + np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return (count * 2 > len(hashes)).astype(np.uint8)
+
+
+def blocks_for(n: int, least: float) -> np.ndarray:
+    """Positions of the bits of each block on which candidates agree, for ``n`` fingerprints.
+
+    By the angle between two sets of that similarity a bit differs with a known chance, and so few blocks give ``MEET``.
+    """
+    width = min(24, max(8, int(np.ceil(np.log2(max(n, 1) / BY_CHANCE)))))
+    same = (1 - np.arccos(2 * least / (1 + least)) / np.pi) ** width
+    rng = np.random.default_rng(13)
+    return np.array([rng.choice(WIDE, width, replace=False) for _ in range(int(np.ceil(np.log(1 - MEET) / np.log(1 - same))))])
+
+
+def block_values(bits: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """A row of block values for each row of bits."""
+    return bits[:, blocks].astype(np.int64) @ (np.int64(1) << np.arange(blocks.shape[1], dtype=np.int64))
+
+
+def near_prints(prints: np.ndarray, cell: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Positions of a spanning forest of the fingerprints of one cell that differ in at most ``WIDE_RADIUS`` bits, and the counts of ``links``.
+
+    Every pair of a cell is tested by the table of distances to reference fingerprints first.  These are members of the bucket: at this
+    radius the distances to random fingerprints differ too little to discard a pair.
+    """
+    order = np.argsort(cell, kind="stable")
+    prints, cell = prints[order], cell[order]
+    pivots = prints[np.linspace(0, len(prints) - 1, min(WIDE_PIVOTS, len(prints))).astype(np.int64)] if len(prints) else prints
+    table = np.bitwise_count(prints[:, None] ^ pivots[None]).sum(axis=2, dtype=np.int16)
+    after = np.searchsorted(cell, cell, side="right") - 1 - np.arange(len(cell))
+    forest, counts, out, ends, lo = Forest(len(cell)), np.zeros(3, np.int64), [], np.cumsum(after), 0
+    while lo < len(cell):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        n = after[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        counts[0] += len(i)
+        for p in range(table.shape[1]):
+            near = np.abs(table[i, p] - table[j, p]) <= WIDE_RADIUS
+            i, j = i[near], j[near]
+        counts[1] += len(i)
+        near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
+        i, j = i[near], j[near]
+        counts[2] += len(i)
+        out += [(order[x], order[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.union(x, y)]
+        lo = hi
+    return out, counts
+
+
+def candidates(prints: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of keys whose components hold all pairs of fingerprints that agree on a block and differ in few bits; columns key and print.
+
+    A block value that more than ``MOST`` share is mostly that of copies, which the comparison of their sets connects at a cost in proportion to
+    their number; its members are all candidates, linked to one of them, without a test.
+    """
+    blocks = blocks_for(prints.count(), least)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                n = part.num_rows
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint8).reshape(n, -1), axis=1)
+                again = pa.array(np.repeat(np.arange(n), len(blocks)))
+                number = pa.array(np.tile(np.arange(len(blocks), dtype=np.int32), n))
+                yield pa.RecordBatch.from_arrays([part.column("key").take(again), part.column("print").take(again), number, pa.array(block_values(bits, blocks).ravel())], ["key", "print", "block", "value"])
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        key = rows["key"].to_numpy()
+        cell = rows.groupby(["block", "value"], sort=False).ngroup().to_numpy()
+        found, _ = near_prints(np.frombuffer(b"".join(rows["print"]), np.uint64).reshape(len(rows), -1), cell)
+        return pd.DataFrame([(key[i], key[j]) for i, j in found], columns=["a", "b"], dtype=np.int64)
+
+    dealt = prints.select("key", "print").mapInArrow(deal, "key long, print binary, block int, value long")
+    sizes = dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"))
+    large = durable(sizes.where(F.col("n") > MOST).drop("n"))
+    several = large.count()
+    small = dealt
+    if several:
+        # Few: each holds over MOST of the rows.
+        large = F.broadcast(large) if several <= 100_000 else large
+        small = dealt.join(large.drop("a"), ["block", "value"], "left_anti")
+    buckets = max(4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), several)
+    found = small.groupBy(F.pmod(F.xxhash64("block", "value"), F.lit(buckets)).alias("bucket")).applyInPandas(compare, "a long, b long")
+    return found.unionByName(dealt.join(large, ["block", "value"]).select("a", F.col("key").alias("b"))) if several else found
+
+
+def _print_rows(docs: DataFrame, width: int) -> DataFrame:
+    """__row, key (a hash of the set of shingles; equal sets have equal keys) and print (null for an empty set) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                keys, prints = [], []
+                for text in as_bytes(part.column("text")):
+                    found = shingle_set(text, width)
+                    keys.append(xxh64_intdigest(found.tobytes(), SEED))
+                    prints.append(np.packbits(wide_print(found)).tobytes() if len(found) else None)
+                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(prints, pa.binary())], ["__row", "key", "print"])
+
+    return docs.select("__row", "text").mapInArrow(run, "__row long, key long, print binary")
+
+
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     """__row, key (a hash of the set of shingles; equal sets have equal keys) and bands of every row; none for an empty set."""
 
@@ -408,3 +535,14 @@ def keep_one_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> Dat
     rows = durable(_set_rows(docs, width))
     edges = similar_links(docs, rows, width, least)
     return _first_of_each(docs, docs.select("__row", "doc_id").join(rows.select("__row", "key"), "__row"), edges).select(columns)
+
+
+def keep_one_near(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """What ``keep_one_similar`` keeps, with candidates found by SimHash fingerprints of the same sets."""
+    docs, columns = _numbered(docs), docs.columns
+    rows = durable(_print_rows(docs, width))
+    prints = durable(rows.where("print IS NOT NULL").groupBy("key").agg(F.first("print").alias("print")))
+    groups = components(candidates(prints, least)).select(F.col("id").alias("key"), F.array("component").alias("bands"))
+    # Only keys with a candidate are in a group.
+    edges = similar_links(docs, durable(rows.drop("print").join(groups, "key")), width, least)
+    return _first_of_each(docs, docs.select("__row", "doc_id").join(rows.select("__row", "key"), "__row"), edges).select(columns)

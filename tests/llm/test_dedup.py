@@ -315,3 +315,52 @@ def test_interval_tree_nodes(strings):
             if least >= 2 and (i == 0 or common[i] < least) and (j + 1 == len(suffixes) or common[j + 1] < least):
                 want.add((least, i, j))
     assert set(nodes) == want and len(nodes) == len(want)
+
+
+@pytest.mark.parametrize("most", [3, 8192])
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
+    r, texts = random.Random(7), []
+    for i in range(12):
+        base = prose(f"f{i}", 150)
+        texts.append(base)
+        for edits in (1, 2, 3, 9):
+            words = base.split()
+            for k in r.sample(range(10, 140), edits):
+                words[k] = f"edit{i}x{k}"
+            texts.append(" ".join(words))
+    texts += ["spam " * 200 + prose("p", 60), "spam " * 200 + prose("q", 60), None, "", "three words here", "Three words here"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(i for i, _ in simhash.keep_one_near(docs).collect()) == firsts_of_similar(rows)
+    assert simhash.keep_one_near(empty(docs)).count() == 0
+
+
+def test_the_pipeline_finds_near_copies_by_simhash(spark, monkeypatch):
+    import corpus_pipeline
+
+    def no(*_):
+        raise AssertionError("candidates of another method")
+
+    monkeypatch.setattr(simhash, "_set_rows", no)
+    docs = spark.createDataFrame([(3, prose("x", 80)), (2, prose("x", 80) + " more"), (5, prose("y", 80))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [2, 5]
+
+
+def test_wide_fingerprints_and_their_blocks():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    flipped = base.copy()
+    flipped[:, 0] ^= np.uint64((1 << 20) - 1)
+    prints, cell = np.concatenate([base, flipped]), np.tile(np.arange(40) % 2, 2)
+    found, counts = simhash.near_prints(prints, cell)
+    assert {tuple(sorted((int(i), int(j)))) for i, j in found} == {(i, i + 40) for i in range(40)}
+    assert counts[0] >= counts[1] >= counts[2] == 40
+    for n in (10, 10**5, 10**7):
+        blocks = simhash.blocks_for(n, 0.8)
+        met, tried = 0, 400
+        for _ in range(tried):
+            a = rng.integers(0, 2, simhash.WIDE)
+            b = a ^ (rng.random(simhash.WIDE) < 0.1514)
+            met += bool((simhash.block_values(a[None], blocks) == simhash.block_values(b[None], blocks)).any())
+        assert met >= 0.97 * tried
