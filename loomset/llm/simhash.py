@@ -352,7 +352,7 @@ def block_values(bits: np.ndarray, blocks: np.ndarray) -> np.ndarray:
 
 
 def near_prints(prints: np.ndarray, cell: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Positions of a spanning forest of the fingerprints of one cell that differ in at most ``WIDE_RADIUS`` bits, and the counts of ``links``.
+    """Stars (first position, other position) of the fingerprints of each cell that are connected by pairs differing in at most ``WIDE_RADIUS`` bits, and the counts of ``links``.
 
     Every pair of a cell is tested by the table of distances to reference fingerprints first.  These are members of the bucket: at this
     radius the distances to random fingerprints differ too little to discard a pair.
@@ -362,7 +362,7 @@ def near_prints(prints: np.ndarray, cell: np.ndarray) -> tuple[list[tuple[int, i
     pivots = prints[np.linspace(0, len(prints) - 1, min(WIDE_PIVOTS, len(prints))).astype(np.int64)] if len(prints) else prints
     table = np.bitwise_count(prints[:, None] ^ pivots[None]).sum(axis=2, dtype=np.int16)
     after = np.searchsorted(cell, cell, side="right") - 1 - np.arange(len(cell))
-    forest, counts, out, ends, lo = Forest(len(cell)), np.zeros(3, np.int64), [], np.cumsum(after), 0
+    forest, counts, ends, lo = Forest(len(cell)), np.zeros(3, np.int64), np.cumsum(after), 0
     while lo < len(cell):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
         n = after[lo:hi]
@@ -376,9 +376,10 @@ def near_prints(prints: np.ndarray, cell: np.ndarray) -> tuple[list[tuple[int, i
         near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
         i, j = i[near], j[near]
         counts[2] += len(i)
-        out += [(order[x], order[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.union(x, y)]
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            forest.union(x, y)
         lo = hi
-    return out, counts
+    return [(order[forest.find(x)], order[x]) for x in np.flatnonzero(forest.lead != np.arange(len(cell))).tolist()], counts
 
 
 def candidates(prints: DataFrame, least: float) -> DataFrame:
@@ -386,6 +387,9 @@ def candidates(prints: DataFrame, least: float) -> DataFrame:
 
     A block value that more than ``MOST`` share is mostly that of copies, which the comparison of their sets connects at a cost in proportion to
     their number; its members are all candidates, linked to one of them, without a test.
+
+    A group of near copies meets in most blocks.  Each block links its members to the smallest key there, which is the same in many blocks; then each
+    member keeps the link to the smallest of these, and these are linked to each other instead (``_fewer``).
     """
     blocks = blocks_for(prints.count(), least)
 
@@ -400,6 +404,7 @@ def candidates(prints: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("key").take(again), part.column("print").take(again), number, pa.array(block_values(bits, blocks).ravel())], ["key", "print", "block", "value"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key")
         key = rows["key"].to_numpy()
         cell = rows.groupby(["block", "value"], sort=False).ngroup().to_numpy()
         found, _ = near_prints(np.frombuffer(b"".join(rows["print"]), np.uint64).reshape(len(rows), -1), cell)
@@ -416,7 +421,17 @@ def candidates(prints: DataFrame, least: float) -> DataFrame:
         small = dealt.join(large.drop("a"), ["block", "value"], "left_anti")
     buckets = max(4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), several)
     found = small.groupBy(F.pmod(F.xxhash64("block", "value"), F.lit(buckets)).alias("bucket")).applyInPandas(compare, "a long, b long")
-    return found.unionByName(dealt.join(large, ["block", "value"]).select("a", F.col("key").alias("b"))) if several else found
+    return _fewer(found.unionByName(dealt.join(large, ["block", "value"]).select("a", F.col("key").alias("b"))) if several else found)
+
+
+def _fewer(stars: DataFrame) -> DataFrame:
+    """Edges a, b with the components of ``stars`` (a: smallest key of a block's star, b: another key of it): about one for each key.
+
+    A key has one star in each block at most, so what is collected for it is bounded by the number of blocks.
+    """
+    centres = stars.where("a <> b").groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("centres"))
+    between = centres.select(F.col("centres")[0].alias("a"), F.explode(F.slice("centres", 2, F.size("centres"))).alias("b")).distinct()
+    return durable(centres.select(F.col("centres")[0].alias("a"), "b").unionByName(between))
 
 
 def _print_rows(docs: DataFrame, width: int) -> DataFrame:

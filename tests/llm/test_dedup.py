@@ -336,6 +336,16 @@ def test_near_copies_are_found_by_fingerprints(spark, monkeypatch, most):
     assert simhash.keep_one_near(empty(docs)).count() == 0
 
 
+def test_a_group_of_near_copies_gives_one_link_for_each(spark):
+    rng = np.random.default_rng(4)
+    bits, n = np.repeat(rng.integers(0, 2, (3, simhash.WIDE)), (300, 20, 1), axis=0), 321
+    bits ^= rng.random(bits.shape) < 0.03
+    prints = spark.createDataFrame([(i + 1, np.packbits(b.astype(np.uint8)).tobytes()) for i, b in enumerate(bits)], "key long, print binary").repartition(3)
+    edges = simhash.candidates(prints, 0.8).select("a", "b")
+    assert edges.count() < 1.5 * n
+    assert {r.id: r.component for r in components(edges).collect()} == {i: 1 if i <= 300 else 301 for i in range(1, n)}
+
+
 def test_the_pipeline_finds_near_copies_by_simhash(spark, monkeypatch):
     import corpus_pipeline
 
