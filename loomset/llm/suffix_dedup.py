@@ -26,7 +26,7 @@ doc_id do not remove each other's text.  A null doc_id counts as smaller than ev
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,8 @@ WINDOW = MIN_BYTES - KMER + 1
 #: Bytes of text in a block, about; and bytes of a text that one pass handles.
 BLOCK_BYTES = 4 << 20
 PASS_BYTES = 2 << 20
+#: Times ``BLOCK_BYTES`` of text whose stretches, about three times its size, a task keeps between steps.
+KEEP_BLOCKS = 2
 #: Bytes of text that one task of a large table handles, block by block.
 TASK_BYTES = 64 << 20
 #: Different stretches of one minimizer that one bucket takes; the windows of more are dealt by their own hashes.
@@ -115,18 +117,16 @@ def _stretches(pieces: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray,
     code ^= code >> np.uint64(32)
     # Of equal hashes the leftmost, so a window's minimizer depends on the window alone.
     least = _least((code & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(code), dtype=np.uint64), WINDOW)
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    inside = np.ones(len(at), dtype=bool)
+    # The place is in it, so it changes where the minimizer does.
+    change = np.append(True, least[1:] != least[:-1])
     for s in starts[1:]:
-        inside[s - MIN_BYTES + 1 : s] = False
-    window = np.flatnonzero(inside)
-    at = at[window]
-    head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)))
-    last = np.append(head[1:], len(at)) - 1
-    begin, end = window[head], window[last] + MIN_BYTES
+        change[s - MIN_BYTES + 1 : s] = False
+    change[starts] = True
+    begin = np.flatnonzero(change)
     piece = np.searchsorted(starts, begin, side="right") - 1
+    end = np.minimum(np.append(begin[1:], len(raw)) - 1 + MIN_BYTES, (starts + lengths)[piece])
     text, place = np.array([p[0] for p in pieces])[piece], begin - starts[piece] + np.array([p[1] for p in pieces])[piece]
-    return buffer, begin, end, text, place, code[at[head]]
+    return buffer, begin, end, text, place, code[(least[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -142,6 +142,13 @@ class _Block:
         texts = [b"" if t is None else bytes(t) for t in rows["__text"]]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.rows, self.ids, self.texts = order, np.array([ids[i] for i in order], dtype=np.int64), [texts[i] for i in order]
+        self.kept: list | None = None
+
+    def stretches(self) -> Iterable[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``stretches`` of the texts, kept for the next call; of a block with very long texts they are found again."""
+        if self.kept is None and sum(map(len, self.texts)) <= KEEP_BLOCKS * BLOCK_BYTES:
+            self.kept = list(stretches(self.texts))
+        return stretches(self.texts) if self.kept is None else self.kept
 
     def minimizers(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different codes in order, whether two documents of the block have it, and how many different stretches it has."""
@@ -162,7 +169,8 @@ class _Block:
 
     def codes(self, buckets: int) -> np.ndarray:
         """Different codes in order."""
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(_codes(hashes, buckets) for *_, hashes in stretches(self.texts))]))
+        code = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_codes(hashes, buckets) for *_, hashes in self.stretches())]))
+        return code[np.append(True, code[1:] != code[:-1])[: len(code)]]
 
     def shared(self, bits: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The codes that the buckets called shared, in order, and whether each is crowded."""
@@ -180,7 +188,7 @@ class _Block:
         shared, crowded = shared
         if not len(shared):
             return
-        for buffer, begin, end, text, place, hashes in stretches(self.texts):
+        for buffer, begin, end, text, place, hashes in self.stretches():
             code = _codes(hashes, buckets)
             found = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
             at = np.flatnonzero(shared[found] == code)

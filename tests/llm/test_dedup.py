@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -275,6 +276,20 @@ def test_a_passage_in_many_surroundings_is_spread_over_buckets(spark):
     assert sum(sent.values()) > n and max(sent.values()) < 4 * sum(sent.values()) / 64
 
 
+@pytest.mark.parametrize("times", [0, 2])
+def test_a_block_finds_its_stretches_once(monkeypatch, times):
+    calls, found = [], suffix_dedup._stretches
+    monkeypatch.setattr(suffix_dedup, "_stretches", lambda pieces: calls.append(len(pieces)) or found(pieces))
+    monkeypatch.setattr(suffix_dedup, "KEEP_BLOCKS", times)
+    block = suffix_dedup._Block(pd.DataFrame({"__id": [2, 1, 3], "__text": [prose(1, 40).encode(), (prose(1, 40) + prose(2, 9)).encode(), b"short"]}))
+    code = block.codes(8)
+    sent = list(block.shared_stretches((code, np.zeros(len(code), bool)), 8))
+    assert len(calls) == (1 if times else 2) and (np.diff(code.astype(object)) > 0).all()
+    # Every window lies in one stretch.
+    assert all(block.texts[t][p : p + len(s)] == s for _, s, t, p in sent)
+    assert sorted((t, p + k) for _, s, t, p in sent for k in range(len(s) - 49)) == [(t, k) for t, x in enumerate(block.texts) for k in range(len(x) - 49)]
+
+
 def test_suffix_dedup_on_odd_tables(spark):
     docs = odd_documents(spark)
     rows = [(-(1 << 63) if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect()]
