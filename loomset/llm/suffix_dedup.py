@@ -18,7 +18,8 @@ A copy's stretches are equal, so a block sends them once however many copies it
 costs a bucket one string for each block.  A passage in ever differing surroundings gives the minimizers near its ends one stretch
 for each document; of such crowded minimizers each window is sent alone, to the bucket of its own hash, so they are spread over
 all buckets.  Equal windows still meet, so the same bytes are found; repeats there are not joined beyond one window.
-Text is shuffled once; all steps share that exchange.
+Text is shuffled once; all steps share that exchange.  Within a task the work is on arrays of stretches, in passes that fit the
+processor's cache.
 
 Defined results: a null text is empty and nothing of it is removed, nor of a text under ``MIN_BYTES`` bytes.  Rows of equal
 doc_id do not remove each other's text.  A null doc_id counts as smaller than every other.  All texts are handled as bytes, NUL included.
@@ -37,9 +38,13 @@ from pyspark.sql import functions as F
 MIN_BYTES = 50
 KMER = 20
 WINDOW = MIN_BYTES - KMER + 1
-#: Bytes of text in a block, about; and bytes of a text that one pass handles.
+#: Bytes of a stretch, at most.
+LONGEST = WINDOW + MIN_BYTES - 1
+#: Bytes of text in a block, about.
 BLOCK_BYTES = 4 << 20
-PASS_BYTES = 2 << 20
+#: Bytes of a pass, which so stays in the processor's cache, its places taking 16 bits; and bytes where a text is cut into passes.
+_PLACES = 1 << 16
+PASS_BYTES = _PLACES - MIN_BYTES + 1
 #: Times ``BLOCK_BYTES`` of text whose stretches, about three times its size, a task keeps between steps.
 KEEP_BLOCKS = 2
 #: Bytes of text that one task of a large table handles, block by block.
@@ -51,34 +56,39 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTE_CODE = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64)
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(_BASE, n, 1 << 64))
-
-
-def _hashes(raw: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the ``width`` bytes from each position on, from hashes of doubling widths."""
-    out, have, size, code = None, 0, 1, _BYTE_CODE[raw]
-    n = len(raw) - width + 1
+def _hashes(code: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each position on, from hashes of doubling widths, the first of them codes of single bytes; as wide as these."""
+    bits = 8 * code.itemsize
+    power = lambda n: code.dtype.type(pow(_BASE, n, 1 << bits))
+    out, have, size = None, 0, 1
+    n = len(code) - width + 1
     while True:
         if width & size:
             part = code[width - have - size :][:n] if out is not None else code[width - size :][:n]
-            out = part.copy() if out is None else part * _power(have) + out
+            out = part.copy() if out is None else part * power(have) + out
             have += size
         if size * 2 > width:
             return out
-        code = code[:-size] * _power(size) + code[size:]
+        code = code[:-size] * power(size) + code[size:]
         size *= 2
 
 
-def _string_hashes(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes begin to end of the buffer, wherever they stand."""
-    raw = np.frombuffer(buffer, np.uint8)
-    powers = np.full(len(raw) + 1, np.uint64(_BASE))
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    before = np.append(np.uint64(0), np.cumsum(_BYTE_CODE[raw] * powers[:-1]))
-    # Divided by the power of its place.
-    return (before[end] - before[begin]) * powers[len(raw) - begin] * np.uint64(pow(_BASE, -len(raw), 1 << 64))
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of numbers side by side."""
+    code = np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
+        code = (code ^ (code >> np.uint64(29)) ^ part.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    code = (code ^ (code >> np.uint64(31))) * np.uint64(_BASE)
+    return code ^ (code >> np.uint64(32))
+
+
+def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.uint64) << np.uint64(32) | low
+
+
+def _eight(buffer: bytes) -> np.ndarray:
+    """The eight bytes from each position on, as one number."""
+    return np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -90,43 +100,48 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :])
 
 
-def stretches(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(buffer, begin, end, text, place, hash) of the stretches: bytes begin to end of the buffer, from ``place`` of the text on."""
+#: buffer, begin, end, text, place, hash of the minimizer and hash of the string.
+_Pass = tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def stretches(texts: list[bytes]) -> Iterator[_Pass]:
+    """The stretches, pass by pass: bytes begin to end of the buffer, from ``place`` of the text on, and their hashes."""
     pieces, size = [], 0
     for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text) - MIN_BYTES + 1), PASS_BYTES):
+        for at in range(0, len(text) - MIN_BYTES + 1, PASS_BYTES):
             piece = text[at : at + PASS_BYTES + MIN_BYTES - 1]
-            if len(piece) < MIN_BYTES:
-                continue
-            pieces.append((i, at, piece))
-            size += len(piece)
-            if size >= PASS_BYTES:
+            if size + len(piece) > _PLACES:
                 yield _stretches(pieces)
                 pieces, size = [], 0
+            pieces.append((i, at, piece))
+            size += len(piece)
     if pieces:
         yield _stretches(pieces)
 
 
-def _stretches(pieces: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _stretches(pieces: list[tuple[int, int, bytes]]) -> _Pass:
     buffer = b"".join(p[2] for p in pieces)
     raw = np.frombuffer(buffer, np.uint8)
     lengths = np.array([len(p[2]) for p in pieces])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    code = _hashes(raw, KMER)
-    code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    code ^= code >> np.uint64(32)
-    # Of equal hashes the leftmost, so a window's minimizer depends on the window alone.
-    least = _least((code & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(code), dtype=np.uint64), WINDOW)
+    code = _hashes(raw.astype(np.uint32) + np.uint32(1), KMER)
+    code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    # Of equal upper halves the leftmost, so a window's minimizer depends on the window alone.
+    least = _least((code & np.uint32(0xFFFF0000)) | np.arange(len(code), dtype=np.uint32), WINDOW)
     # The place is in it, so it changes where the minimizer does.
     change = np.append(True, least[1:] != least[:-1])
-    for s in starts[1:]:
+    for s in starts[1:].tolist():
         change[s - MIN_BYTES + 1 : s] = False
     change[starts] = True
     begin = np.flatnonzero(change)
-    piece = np.searchsorted(starts, begin, side="right") - 1
-    end = np.minimum(np.append(begin[1:], len(raw)) - 1 + MIN_BYTES, (starts + lengths)[piece])
-    text, place = np.array([p[0] for p in pieces])[piece], begin - starts[piece] + np.array([p[1] for p in pieces])[piece]
-    return buffer, begin, end, text, place, code[(least[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    n = np.diff(np.append(np.searchsorted(begin, starts), len(begin)))
+    end = np.minimum(np.append(begin[1:], len(raw)) - 1 + MIN_BYTES, np.repeat(starts + lengths, n))
+    text, place = np.repeat([p[0] for p in pieces], n), begin + np.repeat(np.array([p[1] for p in pieces]) - starts, n)
+    eight = _eight(buffer)
+    at = (least[begin] & np.uint32(0xFFFF)).astype(np.int64)
+    # A stretch has at most ``LONGEST`` bytes, so four k-mers cover it.
+    string = _mixed(_pair(code[begin], code[begin + KMER]), _pair(code[end - 2 * KMER], code[end - KMER]) + (end - begin).astype(np.uint64))
+    return buffer, begin, end, text, place, _mixed(eight[at], eight[at + 8], eight[at + KMER - 8]), string
 
 
 def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -144,7 +159,7 @@ class _Block:
         self.rows, self.ids, self.texts = order, np.array([ids[i] for i in order], dtype=np.int64), [texts[i] for i in order]
         self.kept: list | None = None
 
-    def stretches(self) -> Iterable[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def stretches(self) -> Iterable[_Pass]:
         """``stretches`` of the texts, kept for the next call; of a block with very long texts they are found again."""
         if self.kept is None and sum(map(len, self.texts)) <= KEEP_BLOCKS * BLOCK_BYTES:
             self.kept = list(stretches(self.texts))
@@ -153,23 +168,30 @@ class _Block:
     def minimizers(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different codes in order, whether two documents of the block have it, and how many different stretches it has."""
         code, doc, string = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for buffer, begin, end, text, _, hashes in stretches(self.texts):
+        for _, _, _, text, _, hashes, strings in stretches(self.texts):
             code.append(_codes(hashes, buckets))
             doc.append(self.ids[text])
-            string.append(_string_hashes(buffer, begin, end))
+            string.append(strings)
         code, doc, string = np.concatenate(code), np.concatenate(doc), np.concatenate(string)
         if not len(code):
             return code, np.zeros(0, bool), np.zeros(0, np.int64)
-        order = np.lexsort((string, code))
-        code, doc, string = code[order], doc[order], string[order]
+        order = np.argsort(code)
+        code, doc = code[order], doc[order]
         fresh = np.append(True, code[1:] != code[:-1])
         head = np.flatnonzero(fresh)
-        different = np.add.reduceat((fresh | np.append(True, string[1:] != string[:-1])).astype(np.int64), head)
+        different = np.diff(np.append(head, len(code)))
+        # Most codes have one stretch; only the strings of others are sorted.
+        several = np.repeat(different > 1, different)
+        group, string = np.cumsum(fresh[several]) - 1, string[order[several]]
+        by_string = np.lexsort((string, group))
+        group, string = group[by_string], string[by_string]
+        other = np.append(True, (string[1:] != string[:-1]) | (group[1:] != group[:-1]))[: len(group)]
+        different[different > 1] = np.bincount(group[other])
         return code[head], np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head), different
 
     def codes(self, buckets: int) -> np.ndarray:
         """Different codes in order."""
-        code = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_codes(hashes, buckets) for *_, hashes in self.stretches())]))
+        code = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_codes(hashes, buckets) for *_, hashes, _ in self.stretches())]))
         return code[np.append(True, code[1:] != code[:-1])[: len(code)]]
 
     def shared(self, bits: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,18 +205,23 @@ class _Block:
             crowded[lo:hi] = np.unpackbits(np.frombuffer(full, np.uint8), count=hi - lo).astype(bool)
         return code[keep], crowded[keep]
 
-    def shared_stretches(self, shared: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[tuple[int, bytes, int, int]]:
-        """(bucket, string, text, place) of each stretch of a shared minimizer, or of each window of a crowded one."""
+    def shared_places(self, shared: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Pass by pass, (buffer, bucket, begin, end, text, place) of the stretches of shared minimizers, or of the windows of crowded ones."""
         shared, crowded = shared
         if not len(shared):
             return
-        for buffer, begin, end, text, place, hashes in self.stretches():
+        # Discards most others before the search.
+        low = np.uint64(0xFFFFF)
+        likely = np.zeros(1 << 20, bool)
+        likely[shared & low] = True
+        for buffer, begin, end, text, place, hashes, _ in self.stretches():
             code = _codes(hashes, buckets)
-            found = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
-            at = np.flatnonzero(shared[found] == code)
+            at = np.flatnonzero(likely[code & low])
+            found = np.minimum(np.searchsorted(shared, code[at]), len(shared) - 1)
+            same = shared[found] == code[at]
+            at, split = at[same], crowded[found[same]]
             bucket = (code[at] >> np.uint64(32)).astype(np.int64)
             begin, end, text, place = begin[at], end[at], text[at], place[at]
-            split = crowded[found[at]]
             if split.any():
                 # In the order of the text, so that the first and the last document of a window come first and last.
                 n = np.where(split, end - begin - MIN_BYTES + 1, 1)
@@ -203,13 +230,65 @@ class _Block:
                 begin, end, place = np.repeat(begin, n) + step, np.repeat(end, n), np.repeat(place, n) + step
                 end[split] = begin[split] + MIN_BYTES
                 bucket[split] = _window_buckets(buffer, begin[split], buckets)
+            yield buffer, bucket, begin, end, text, place
+
+    def shared_stretches(self, shared: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[tuple[int, bytes, int, int]]:
+        """``shared_places`` one by one: (bucket, string, text, place)."""
+        for buffer, bucket, begin, end, text, place in self.shared_places(shared, buckets):
             for b, lo, hi, t, p in zip(bucket.tolist(), begin.tolist(), end.tolist(), text.tolist(), place.tolist(), strict=True):
                 yield b, buffer[lo:hi], t, p
 
+    def shared_strings(self, shared: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The different strings of ``shared_places`` by bucket, and where each bucket's begin; string, text and place of each stretch."""
+        parts = [(pa.array([], pa.large_binary()), *[np.zeros(0, np.int64)] * 3)]
+        for buffer, bucket, begin, end, text, place in self.shared_places(shared, buckets):
+            parts.append((_cut(buffer, begin, end), bucket, text, place))
+        cut, *rest = zip(*parts, strict=True)
+        bucket, text, place = (np.concatenate(x) for x in rest)
+        strings, number = _different(pa.concat_arrays(cut))
+        # A string has one minimizer, or is one window, and so has one bucket.
+        of = np.zeros(len(strings), np.int64)
+        of[number] = bucket
+        order, rank = np.argsort(of, kind="stable"), np.empty(len(strings), np.int64)
+        rank[order] = np.arange(len(order))
+        return strings.take(pa.array(order)), np.searchsorted(of[order], np.arange(buckets + 1)), rank[number], text, place
+
+
+def _strings(lengths: np.ndarray, data: bytes | np.ndarray) -> pa.LargeBinaryArray:
+    """Strings that stand one after the other."""
+    offsets = np.append(0, np.cumsum(lengths, dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _cut(buffer: bytes, begin: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
+    """Bytes begin to end of the buffer, ``LONGEST`` at most."""
+    from_each = np.ndarray(len(buffer), f"V{LONGEST}", buffer + bytes(LONGEST), strides=(1,))
+    rows = from_each[begin].view(np.uint8).reshape(-1, LONGEST)
+    lengths = (end - begin).astype("u1")
+    return _strings(lengths, rows[np.arange(LONGEST, dtype="u1") < lengths[:, None]])
+
+
+def _different(strings: pa.LargeBinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The different strings, and which of them each one is."""
+    found = strings.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64)
+
+
+def _bytes_of(strings: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes, and where each string begins in them, with the end."""
+    _, offsets, data = strings.buffers()
+    offsets = np.frombuffer(offsets, "<i8")[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _spread(n: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 ... of each, ``n`` numbers."""
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
 
 def _window_buckets(buffer: bytes, begin: np.ndarray, buckets: int) -> np.ndarray:
-    code = _string_hashes(buffer, begin, begin + MIN_BYTES)
-    code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    eight = _eight(buffer)
+    code = _mixed(*(eight[begin + k] for k in (*range(0, MIN_BYTES - 8, 8), MIN_BYTES - 8)))
     return ((code >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -261,19 +340,18 @@ def _shared(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _send(buckets: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         block = _Block(rows)
-        known: dict[int, dict[bytes, list[int]]] = {}
-        ids = block.ids.tolist()
-        for bucket, string, text, _ in block.shared_stretches(block.shared(bits, buckets), buckets):
-            mine = known.setdefault(bucket, {})
-            seen = mine.get(string)
-            if seen is None:
-                mine[string] = [ids[text], ids[text]]
-            else:
-                seen[1] = ids[text]  # texts come in the order of their ids
+        strings, heads, number, text, _ = block.shared_strings(block.shared(bits, buckets), buckets)
+        raw, starts = _bytes_of(strings)
+        first, last = np.zeros(len(strings), "<i8"), np.zeros(len(strings), "<i8")
+        # Texts come in the order of their ids.
+        first[number[::-1]], last[number] = block.ids[text[::-1]], block.ids[text]
+        lengths = np.diff(starts).astype("u1")
+        full = np.flatnonzero(heads[1:] > heads[:-1])
+        cuts = [slice(heads[b], heads[b + 1]) for b in full]
         return pd.DataFrame({
-            "bucket": np.array(list(known), np.int32), "block": np.full(len(known), key[0], np.int32),
-            "strings": [b"".join(k) for k in known.values()], "lengths": [bytes(map(len, k)) for k in known.values()],
-            "first": [np.array([v[0] for v in k.values()], "<i8").tobytes() for k in known.values()], "last": [np.array([v[1] for v in k.values()], "<i8").tobytes() for k in known.values()],
+            "bucket": full.astype(np.int32), "block": np.full(len(full), key[0], np.int32),
+            "strings": [raw[starts[c.start] : starts[c.stop]].tobytes() for c in cuts], "lengths": [lengths[c].tobytes() for c in cuts],
+            "first": [first[c].tobytes() for c in cuts], "last": [last[c].tobytes() for c in cuts],
         })
 
     return run
@@ -295,32 +373,36 @@ def interval_tree(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return nodes
 
 
-def repeats(strings: list[bytes], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeats(strings: pa.LargeBinaryArray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(group, string, offset, length, smallest id) of all occurrences of the maximal repeats among different strings.
 
     A string that several documents hold is a repeat as a whole.
     """
-    lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    raw, starts = _bytes_of(strings)
+    starts, lengths = starts[:-1], np.diff(starts)
     whole = np.flatnonzero(first < last)
     found = [(np.arange(len(whole)), whole, np.zeros(len(whole), np.int64), lengths[whole], first[whole])]
-    raw = np.frombuffer(b"".join(strings) + bytes(WINDOW + MIN_BYTES), np.uint8)
+    raw = np.append(raw, np.zeros(LONGEST + 1, np.uint8))
     windows = lengths - MIN_BYTES + 1
     owner = np.repeat(np.arange(len(strings)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     place = starts[owner] + offset
+    code = np.concatenate([_hashes(_BYTE_CODE[raw[at : at + _PLACES + MIN_BYTES - 1]], MIN_BYTES) for at in range(0, len(raw) - MIN_BYTES + 1, _PLACES)])[place]
     # Only windows that may be equal to another are sorted, and of these only sets that may be preceded by different bytes.
-    code = _hashes(raw, MIN_BYTES)[place]
-    order = np.argsort(code, kind="stable")
-    head = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+    order = np.argsort(code)
+    code = code[order]
+    same = code[1:] == code[:-1]
+    several = np.append(same, False)[: len(code)] | np.append(False, same)[: len(code)]
+    order, code = order[several], code[several]
+    head = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
     size = np.diff(np.append(head, len(order)))
-    before = np.where(offset > 0, raw[place - 1].astype(np.int64), 256)
-    low, high = np.minimum.reduceat(before[order], head), np.maximum.reduceat(before[order], head)
-    kept = order[np.repeat((size > 1) & ((low != high) | (high == 256)), size)]
+    before = np.where(offset[order] > 0, raw[place[order] - 1].astype(np.int64), 256)
+    low, high = np.minimum.reduceat(before, head), np.maximum.reduceat(before, head)
+    diverse = np.repeat((low != high) | (high == 256), size)
+    kept, before = order[diverse], before[diverse]
     if len(kept):
-        owner, offset, place, before = owner[kept], offset[kept], place[kept], before[kept]
-        longest = WINDOW + MIN_BYTES - 1
-        words = -(-longest // 8)
+        owner, offset, place = owner[kept], offset[kept], place[kept]
+        words = -(-LONGEST // 8)
         suffix = raw[np.minimum(place[:, None] + np.arange(words * 8), len(raw) - 1)]
         room = lengths[owner] - offset
         suffix[np.arange(words * 8)[None, :] >= room[:, None]] = 0
@@ -328,7 +410,7 @@ def repeats(strings: list[bytes], first: np.ndarray, last: np.ndarray) -> tuple[
         order = np.lexsort((room, *(keys[:, w] for w in range(words - 1, -1, -1))))
         owner, offset, before, room, suffix = owner[order], offset[order], before[order], room[order], suffix[order]
         differs = suffix[1:] != suffix[:-1]
-        common = np.where(differs.any(axis=1), differs.argmax(axis=1), longest)
+        common = np.where(differs.any(axis=1), differs.argmax(axis=1), LONGEST)
         common = np.append(0, np.minimum(np.minimum(room[1:], room[:-1]), common))
         changes = np.cumsum(np.append(0, before[1:] != before[:-1]))
         borders = np.cumsum(before == 256)
@@ -351,55 +433,56 @@ def _maximal_repeats(every: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFram
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block").reset_index(drop=True)
-        index: dict[bytes, int] = {}
-        ids, first, last = [], [], []
-        for blob, sizes, one, two in zip(rows["strings"], rows["lengths"], rows["first"], rows["last"], strict=True):
-            at = 0
-            for n, a, b in zip(sizes, np.frombuffer(one, "<i8").tolist(), np.frombuffer(two, "<i8").tolist(), strict=True):
-                string = blob[at : at + n]
-                at += n
-                i = index.setdefault(string, len(first))
-                ids.append(i)
-                if i == len(first):
-                    first.append(a)
-                    last.append(b)
-                else:
-                    first[i], last[i] = min(first[i], a), max(last[i], b)
-        first, last = np.array(first, np.int64), np.array(last, np.int64)
-        group, string, offset, length, smallest = repeats(list(index), first, last)
+        lengths = np.frombuffer(b"".join(rows["lengths"]), "u1")
+        strings, ids = _different(_strings(lengths, b"".join(rows["strings"])))
+        first, last = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), _NO_ID)
+        np.minimum.at(first, ids, np.frombuffer(b"".join(rows["first"]), "<i8"))
+        np.maximum.at(last, ids, np.frombuffer(b"".join(rows["last"]), "<i8"))
+        group, string, offset, length, smallest = repeats(strings, first, last)
         if not every:
             useful = smallest < last[string]
             group, string, offset, length, smallest = (x[useful] for x in (group, string, offset, length, smallest))
         order = np.argsort(string, kind="stable")
-        cut = np.searchsorted(string[order], np.arange(len(first) + 1))
-        ids = np.array(ids, np.int64)
+        n = np.bincount(string, minlength=len(strings))
+        begin, n = (np.cumsum(n) - n)[ids], n[ids]
+        at = order[_spread(n, begin)]
+        # Strings of each block, and where its answers end.
         ends = np.cumsum([len(s) for s in rows["lengths"]])
-        out = []
-        for block, lo, hi in zip(rows["block"], np.append(0, ends[:-1]), ends, strict=True):
-            n = cut[ids[lo:hi] + 1] - cut[ids[lo:hi]]
-            at = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(cut[ids[lo:hi]], n)]
-            if len(at):
-                group_id = (group[at] + (int(key[0]) << 40)).astype("<i8")
-                out.append((block, key[0], np.repeat(np.arange(hi - lo), n).astype("<u4").tobytes(), offset[at].astype("u1").tobytes(), length[at].astype("u1").tobytes(), smallest[at].astype("<i8").tobytes(), group_id.tobytes() if every else b""))
-        return pd.DataFrame(out, columns=["block", "bucket", "string", "offset", "length", "smallest", "repeat"])
+        sizes = np.diff(ends, prepend=0)
+        told = np.append(0, np.cumsum(n))[np.append(0, ends)]
+        answer = {
+            "string": np.repeat(np.arange(len(ids)) - np.repeat(ends - sizes, sizes), n).astype("<u4"), "offset": offset[at].astype("u1"), "length": length[at].astype("u1"), "smallest": smallest[at].astype("<i8"),
+            "repeat": (group[at] + (int(key[0]) << 40)).astype("<i8") if every else np.zeros(0, "<i8"),
+        }
+        out = [(block, key[0], *(x[lo:hi].tobytes() for x in answer.values())) for block, lo, hi in zip(rows["block"], told[:-1], told[1:], strict=True) if lo < hi]
+        return pd.DataFrame(out, columns=["block", "bucket", *answer])
 
     return run
 
 
-def _found(block: _Block, bits: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
-    """(text, place, [(offset, length, smallest id, repeat)]) of each stretch that has a repeat."""
-    told: dict[int, dict[int, list[tuple[int, int, int, int]]]] = {}
-    for bucket, string, offset, length, smallest, repeat in zip(*(answers[c] for c in ("bucket", "string", "offset", "length", "smallest", "repeat")), strict=True):
-        mine = told.setdefault(bucket, {})
-        names = np.frombuffer(repeat, "<i8").tolist() or [0] * len(offset)
-        for s, o, n, d, r in zip(np.frombuffer(string, "<u4").tolist(), offset, length, np.frombuffer(smallest, "<i8").tolist(), names, strict=True):
-            mine.setdefault(s, []).append((o, n, d, r))
-    known: dict[int, dict[bytes, int]] = {}
-    for bucket, string, text, place in block.shared_stretches(block.shared(bits, buckets), buckets):
-        mine = known.setdefault(bucket, {})
-        there = told.get(bucket, {}).get(mine.setdefault(string, len(mine)))
-        if there:
-            yield text, place, there
+def _found(block: _Block, bits: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length, smallest id, repeat) of every place of a repeat."""
+    strings, heads, number, text, place = block.shared_strings(block.shared(bits, buckets), buckets)
+    string, offset, length, smallest, repeat = (np.frombuffer(b"".join(answers[c]), t) for c, t in (("string", "<u4"), ("offset", "u1"), ("length", "u1"), ("smallest", "<i8"), ("repeat", "<i8")))
+    string = string + np.repeat(heads[answers["bucket"].to_numpy(np.int64)], [len(o) for o in answers["offset"]])
+    order = np.argsort(string, kind="stable")
+    n = np.bincount(string, minlength=len(strings))
+    begin, n = (np.cumsum(n) - n)[number], n[number]
+    at = order[_spread(n, begin)]
+    return np.repeat(text, n), np.repeat(place, n) + offset[at], length[at].astype(np.int64), smallest[at], repeat[at] if len(repeat) else np.zeros(len(at), np.int64)
+
+
+def _runs(text: np.ndarray, start: np.ndarray, length: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the runs of bytes that are covered, in order; ``sizes`` of the texts."""
+    if not len(text):
+        return text, start, start
+    base = np.cumsum(sizes + 1) - (sizes + 1)
+    begin = base[text] + start
+    order = np.argsort(begin, kind="stable")
+    text, begin, end = text[order], begin[order], np.maximum.accumulate((begin + length)[order])
+    head = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+    base = base[text[head]]
+    return text[head], begin[head] - base, end[np.append(head[1:], len(end)) - 1] - base
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -409,31 +492,26 @@ def _apply(buckets: int, columns: list[str]) -> Callable[[tuple, pa.Table, pa.Ta
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         block, told = _Block(rows.select(["__id", "__text"]).to_pandas()), answers.to_pandas()
         is_bits = told["bits"].notna()
-        starts: dict[int, list[int]] = {}
-        ends: dict[int, list[int]] = {}
-        ids = block.ids.tolist()
-        for text, place, there in _found(block, told[is_bits], told[~is_bits], buckets):
-            for offset, length, smallest, _ in there:
-                if smallest < ids[text]:
-                    starts.setdefault(text, []).append(place + offset)
-                    ends.setdefault(text, []).append(place + offset + length)
-        spans: list[list[dict[str, int]]] = [[]] * rows.num_rows
+        text, start, length, smallest, _ = _found(block, told[is_bits], told[~is_bits], buckets)
+        removed = smallest < block.ids[text]
+        text, start, end = _runs(text[removed], start[removed], length[removed], np.array([len(t) for t in block.texts], np.int64))
         kept: list[bytes] = [b""] * rows.num_rows
-        for i, text in enumerate(block.texts):
-            row = block.rows[i]
-            if i not in starts:
-                kept[row] = text
-                continue
-            depth = np.zeros(len(text) + 2, np.int32)
-            np.add.at(depth, np.array(starts[i]) + 1, 1)
-            np.add.at(depth, np.array(ends[i]) + 1, -1)
-            covered = np.cumsum(depth) > 0
-            edge = np.flatnonzero(covered[1:] != covered[:-1])
-            spans[row] = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[0::2], edge[1::2], strict=True)]
-            kept[row] = np.frombuffer(text, np.uint8)[~covered[1:-1]].tobytes()
-        # A cut may fall inside a character; in the text, bytes that no longer form one go.
-        text = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
-        return rows.select(columns).append_column("spans", pa.array(spans, _SPANS)).append_column("kept", pa.array(kept, pa.binary())).append_column("kept_text", text)
+        cut = np.searchsorted(text, np.arange(rows.num_rows + 1)).tolist()
+        begins, ends = start.tolist(), end.tolist()
+        for i, whole in enumerate(block.texts):
+            lo, hi = cut[i], cut[i + 1]
+            kept[block.rows[i]] = b"".join(whole[a:b] for a, b in zip([0, *ends[lo:hi]], [*begins[lo:hi], len(whole)], strict=True)) if lo < hi else whole
+        row = np.array(block.rows, np.int64)[text]
+        order = np.argsort(row, kind="stable")
+        offsets = np.append(0, np.cumsum(np.bincount(row, minlength=rows.num_rows)))
+        spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(start[order]), pa.array((end - start)[order])], fields=list(_SPANS.value_type)))
+        kept = pa.array(kept, pa.binary())
+        try:
+            text = kept.cast(pa.string())
+        except pa.ArrowInvalid:
+            # A cut may fall inside a character; in the text, bytes that no longer form one go.
+            text = pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
+        return rows.select(columns).append_column("spans", spans).append_column("kept", kept).append_column("kept_text", text)
 
     return run
 
@@ -491,8 +569,8 @@ def maximal_repeats(docs: DataFrame, most: int = MOST_STRINGS) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block, is_bits = _Block(rows), answers["bits"].notna()
-        out = [(r, n, int(block.ids[text]), place + o) for text, place, there in _found(block, answers[is_bits], answers[~is_bits], buckets) for o, n, _, r in there]
-        return pd.DataFrame(out, columns=["repeat", "length", "__id", "start"])
+        text, start, length, _, repeat = _found(block, answers[is_bits], answers[~is_bits], buckets)
+        return pd.DataFrame({"repeat": repeat, "length": length, "__id": block.ids[text], "start": start})
 
     found = rows.groupBy("__block").cogroup(answers.groupBy("block")).applyInPandas(run, "repeat long, length long, __id long, start long")
     return found.select("repeat", "length", _doc_id(), "start")

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -290,6 +292,51 @@ def test_a_block_finds_its_stretches_once(monkeypatch, times):
     assert sorted((t, p + k) for _, s, t, p in sent for k in range(len(s) - 49)) == [(t, k) for t, x in enumerate(block.texts) for k in range(len(x) - 49)]
 
 
+def test_stretches_are_found_in_small_passes():
+    r = random.Random(5)
+    texts = [prose(i, n).encode() for i, n in enumerate((30, 20000, 400, 9, 30000))] + [b"x" * 70000, bytes(150000), r.randbytes(65536 - 49), r.randbytes(65537), b"short"]
+    windows, strings = set(), {}
+    for buffer, begin, end, text, place, code, *_ in suffix_dedup.stretches(texts):
+        assert len(buffer) <= 1 << 16
+        for lo, hi, t, p, c in zip(begin.tolist(), end.tolist(), text.tolist(), place.tolist(), code.tolist(), strict=True):
+            assert 50 <= hi - lo <= 80 and texts[t][p : p + hi - lo] == buffer[lo:hi]
+            for k in range(hi - lo - 49):
+                assert (t, p + k) not in windows and strings.setdefault(buffer[lo + k : lo + k + 50], c) == c
+                windows.add((t, p + k))
+    assert len(windows) == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_a_block_is_worked_on_in_arrays():
+    ids, texts = list(range(40)), [prose(i // 2, 3000).encode() for i in range(40)]
+    rows, calls = pd.DataFrame({"__id": ids, "__text": texts}), []
+
+    def steps():
+        bits = suffix_dedup._shared(suffix_dedup.MOST_STRINGS)(suffix_dedup._announce(64)((0,), rows))
+        sent = suffix_dedup._send(64)((0,), rows, bits)
+        found = pd.concat([suffix_dedup._maximal_repeats(False)((b,), sent[sent["bucket"] == b]) for b in sent["bucket"]])
+        answers = pa.Table.from_pandas(pd.concat([bits, found]).astype({"block": "int32", "bucket": "int32"}), preserve_index=False)
+        out = suffix_dedup._apply(64, ["__id", "__text"])((0,), pa.table({"__id": ids, "__text": texts}), answers)
+        return sent, out
+
+    sent, out = steps()
+    assert out["kept"].to_pylist() == [b"" if i % 2 else t for i, t in enumerate(texts)]
+    assert out["spans"].to_pylist() == [[{"start": 0, "length": len(t)}] if i % 2 else [] for i, t in enumerate(texts)]
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event in ("call", "c_call") else None)
+    try:
+        suffix_dedup._send(64)((0,), rows, suffix_dedup._shared(suffix_dedup.MOST_STRINGS)(suffix_dedup._announce(64)((0,), rows)))
+    finally:
+        sys.setprofile(None)
+    # No Python for each string.
+    assert len(calls) < 0.5 * sent["lengths"].map(len).sum()
+
+
+def test_suffix_dedup_of_texts_beyond_one_pass(spark):
+    long = prose(1, 16000)
+    rows = [(3, prose(2, 7) + long), (1, long), (2, "x" * 70000), (5, "y" + "x" * 66000 + prose(3, 20)), (4, prose(4, 14000) + long[-300:] + "é" * 40), (6, "e" + "é" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert digests(suffix_dedup.remove_repeats(docs)) == slow_repeats([(i, t.encode()) for i, t in rows])
+
+
 def test_suffix_dedup_on_odd_tables(spark):
     docs = odd_documents(spark)
     rows = [(-(1 << 63) if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect()]
